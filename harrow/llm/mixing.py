@@ -56,7 +56,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     everything = W.partitionBy(F.lit(1))
     a = a.withColumn("total", F.sum("source_size").over(everything).cast("double"))
     a = a.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    a = a.withColumn("final", F.min(F.when(F.col("ratio") >= F.col("level"), F.col("level"))).over(everything))
+    a = a.withColumn("rank", F.row_number().over(ranked))  # the level is that of the first source that is not capped
+    a = a.withColumn("final", F.min_by("level", F.when(F.col("ratio") >= F.col("level"), F.col("rank"))).over(everything))
     return a.select("source", "source_size", "weight", F.least("cap", F.coalesce(F.col("final"), F.lit(float("inf"))) * F.col("weight")).alias("target"))
 
 
