@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harrow.llm import exact, mixing, pieces, quality
+from harrow.llm import exact, mixing, near, pieces, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,4 +34,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(*mixing.mix_plan(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_pieces, op6_quality, op7_mixing)}
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_groups(table(spark, sf_dir, "documents"), k=4)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_pieces, op6_quality, op7_mixing, op9_near_dedup)}
