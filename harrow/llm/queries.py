@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harrow.llm import exact, mixing, near, pieces, quality
+from harrow.llm import exact, html, mixing, near, pieces, pii, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,4 +38,16 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_groups(table(spark, sf_dir, "documents"), k=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_pieces, op6_quality, op7_mixing, op9_near_dedup)}
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+#: Of the query only; a user's key is kept outside the code.
+QUERY_KEY = b"key of the query"
+
+
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), QUERY_KEY)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_pieces, op6_quality, op7_mixing, op8_main_text, op9_near_dedup, op10_pseudonyms)}
