@@ -262,7 +262,7 @@ KINDS = (
     Kind("date", "", re.compile(r"(?<![\w/.-])(?P<a>\d\d)(?P<t>[-/.])(?P<b>\d\d)(?P=t)(?P<v>(?:19|20)\d\d)(?![\w/-]|\.\d)"), _any_numeric_date),
     Kind("date", "", re.compile(rf"\b(?P<mon>{'|'.join(MONTHS)}|{'|'.join(x[:3] for x in MONTHS)})(?P<g1>\.? )(?P<wd>[1-9]|[12]\d|3[01])(?P<g2>,? )(?P<wy>(?:19|20)\d\d)\b"), _worded),
     Kind("ssn", "-", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), _ssn),
-    Kind("card", "", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])"), _card),
+    Kind("card", "", re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?P<c>[ -])\d{4}(?P=c)\d{4}(?P=c)\d{4}(?:(?P=c)\d{1,3})?|\d{4}(?P<x>[ -])\d{6}(?P=x)\d{5})(?![\w-])"), _card),
     Kind("ip", ".", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"), _ip),
     Kind("phone", "", re.compile(r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?![\w-])|(?<![\w+])\+1\d{10}(?!\w)"), _phone),
 )
