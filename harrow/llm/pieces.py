@@ -25,7 +25,7 @@ from harrow.llm.shared import ship
 
 META = "▁"
 #: Units in a generation of a worker's store; it bounds memory and changes no result.
-STORE_UNITS = 150_000
+STORE_UNITS, STORE_PAIRS = 450_000, 400_000
 
 
 class Encoder:
@@ -45,6 +45,7 @@ class Encoder:
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == 6}
         self.byte_of = {i: b for b, i in self.byte.items()}
         self.piece = {i: p for p, i in self.ids.items()}
+        self.shown = {i: p.replace(META, " ") for i, p in self.piece.items()}
         self.unk = next(i for i, p in enumerate(m.pieces) if p.type == 2)
         self.control = {i for i, p in enumerate(m.pieces) if p.type == 3}
         self.end = next((i for i, p in enumerate(m.pieces) if p.piece == (m.trainer_spec.eos_piece or "</s>")), 2)
@@ -86,7 +87,7 @@ class Encoder:
         """Whether merging the text of two adjacent pieces gives these two."""
         key = (a, b)
         if (known := self._fits.get(key)) is None:
-            if len(self._fits) > 3 * STORE_UNITS:
+            if len(self._fits) > STORE_PAIRS:
                 self._fits.clear()
             known = self._fits[key] = self.merge(a + b) == key
         return known
@@ -147,6 +148,13 @@ class Encoder:
     def encode(self, text: str) -> list[int]:
         return [i for u in self.units(text) for i in self.encode_unit(u)]
 
+    def decode_unit(self, ids: list[int]) -> str:
+        """decode() of ids inside a text; pieces only, in most cases."""
+        try:
+            return "".join([self.shown[i] for i in ids])
+        except KeyError:
+            return self.decode(ids, first=False)
+
     def decode(self, ids: list[int], first: bool = True) -> str:
         """Pieces joined; bytes that are no UTF-8 become U+FFFD; the space put in front goes, control ids are empty."""
         out, raw, begun = [], bytearray(), not first
@@ -195,23 +203,31 @@ class _Kept(dict):
         super().__init__()
         self.work, self.older = work, {}
 
-    def __missing__(self, unit: str) -> str:
+    def put(self, unit: str, value: str) -> None:
         if len(self) >= STORE_UNITS:
             self.older = dict(self)
             self.clear()
+        self[unit] = value
+
+    def __missing__(self, unit: str) -> str:
         value = self.older.get(unit)
         if value is None:
             value = self.work(unit)
-        self[unit] = value
+        self.put(unit, value)
         return value
 
 
 class _Store:
     def __init__(self, encoder: Encoder):
         self.encoder = encoder
-        self.ids = _Kept(lambda unit: " ".join(map(str, encoder.encode_unit(unit))))
+        self.ids = _Kept(self._ids)
         self.decoded = _Kept(lambda unit: encoder.decode(list(map(int, self.ids[unit].split())), first=False))
 
+    def _ids(self, unit: str) -> str:
+        ids = self.encoder.encode_unit(unit)
+        self.decoded.put(unit, self.encoder.decode_unit(ids))  # asked for next
+        return " ".join(map(str, ids))
+
 
 _STORES: dict[bytes, _Store] = {}
 
