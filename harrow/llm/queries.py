@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harrow.llm import automaton, exact, html, mixing, near, pieces, pii, quality, suffix
+from harrow.llm import automaton, exact, html, mixing, near, pieces, pii, ppm, quality, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.drop_repeated_bytes(table(spark, sf_dir, "documents"), keep="none")
 
@@ -58,4 +62,4 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), QUERY_KEY)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_suffix_dedup, op5_automaton_dedup, op4_pieces, op6_quality, op7_mixing, op8_main_text, op9_near_dedup, op10_pseudonyms)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_ppm, op3_suffix_dedup, op5_automaton_dedup, op4_pieces, op6_quality, op7_mixing, op8_main_text, op9_near_dedup, op10_pseudonyms)}
