@@ -1,11 +1,11 @@
 """Language-model scores by prediction by partial matching over byte contexts, beside a word-count base.
 
-The model is a trie of contexts of up to four bytes, learnt from the training rows.  A byte is coded in the
-longest known context; where it has not been seen there an escape is coded (its estimate: distinct bytes seen
-over those and all bytes seen) and the next shorter context is tried without the bytes already excluded; under
+The model is a trie of contexts of up to five bytes, learnt from the training rows.  A byte is coded in the
+longest known context; where it has not been seen there an escape is coded (a byte seen n times counts 2n - 1, an
+escape as many as there are distinct bytes) and the next shorter context is tried without the bytes already excluded; under
 the empty context all bytes are alike.  A text ends with byte 0xFF, which UTF-8 never has, and begins after 0xFE.
 
-Everything the trie decides depends on the last five bytes only.  So strings of five bytes are counted over the
+Everything the trie decides depends on the last six bytes only.  So strings of six bytes are counted over the
 corpus, shorter contexts are sums of these, and the log probability of each distinct string is worked out once,
 by joins.  Texts are then scored by looking strings up: the most frequent ones (at most ``TABLE_ROWS``, a bound
 on what is broadcast) in a table that each worker has, all others by a join.  Words of the base likewise.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from harrow.llm import bytesx as X
 from harrow.llm.shared import ship, written
 
-ORDER = 4
+ORDER = 5
 #: Most entries of each table that workers hold: 16 bytes each.
 TABLE_ROWS = 1_000_000
 BEGIN, END, SYMBOLS = 0xFE, 0xFF, 256
@@ -38,7 +38,7 @@ def is_held_out(id_col: Column) -> Column:
 
 
 def strings(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the last five bytes at each byte and end of the texts as a number, first place of each text)."""
+    """(the last ORDER + 1 bytes at each byte and end of the texts as a number, first place of each text)."""
     n, rows = len(data), len(offsets) - 1
     row = np.repeat(np.arange(rows), np.diff(offsets))
     padded = np.full(n + (ORDER + 1) * rows, BEGIN, np.uint8)
@@ -78,7 +78,7 @@ WORD, GRAM = 0, 1
 
 
 def count_training(docs: DataFrame) -> DataFrame:
-    """kind, key, n: words and five-byte strings of docs (rid, held, text), n over training rows (strings: 0 too)."""
+    """kind, key, n: words and strings of ORDER + 1 bytes of docs (rid, held, text), n over training rows (strings: 0 too)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,7 +103,7 @@ def count_training(docs: DataFrame) -> DataFrame:
 
 
 def trie_costs(grams: DataFrame) -> DataFrame:
-    """key, n, cost: log10 probability of the last byte of each string after the four before, under PPM."""
+    """key, n, cost: log10 probability of the last byte of each string after those before, under PPM."""
 
     def low(c: str, k: int) -> Column:
         return F.col(c).bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
@@ -114,15 +114,15 @@ def trie_costs(grams: DataFrame) -> DataFrame:
     costs = grams.select("key", F.lit(False).alias("done"), F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("qv"), F.lit(0).cast("long").alias("xv"), F.lit(0).cast("long").alias("q0"))
     for k in range(ORDER, -1, -1):
         e = entries[k]
-        node = e.groupBy(F.shiftright("key", 8).alias("ctx")).agg(F.sum("n").alias("nu"), F.count(F.lit(1)).alias("qu"))
+        node = e.groupBy(F.shiftright("key", 8).alias("ctx")).agg(F.sum(2 * F.col("n") - 1).alias("nu"), F.count(F.lit(1)).alias("qu"))
         if k:
             # bytes seen in this context, as they count in the next shorter one, where they are excluded
-            below = e.select(F.shiftright("key", 8).alias("ctx"), low("key", k - 1).alias("low")).join(entries[k - 1].select(F.col("key").alias("low"), F.col("n").alias("m")), "low")
+            below = e.select(F.shiftright("key", 8).alias("ctx"), low("key", k - 1).alias("low")).join(entries[k - 1].select(F.col("key").alias("low"), (2 * F.col("n") - 1).alias("m")), "low")
             node = node.join(below.groupBy("ctx").agg(F.sum("m").alias("xu")), "ctx")
         else:
             node = node.withColumn("xu", F.lit(0).cast("long"))
         costs = costs.withColumn("ctx", F.shiftright(low("key", k), 8)).withColumn("e", low("key", k))
-        costs = costs.join(node, "ctx", "left").join(e.select(F.col("key").alias("e"), F.col("n").alias("ns")), "e", "left")
+        costs = costs.join(node, "ctx", "left").join(e.select(F.col("key").alias("e"), (2 * F.col("n") - 1).alias("ns")), "e", "left")
         new, left = F.col("qu") - F.col("qv"), F.col("nu") - F.col("xv")
         all_left = (new + left).cast("double")
         step = F.when(F.col("done") | F.col("nu").isNull() | (new == 0), 0.0).otherwise(F.log10(F.coalesce(F.col("ns"), new) / all_left))
