@@ -25,7 +25,7 @@ MOST_TIMES = 3
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
 #: Rows (about) that are put in order together while offsets are summed.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 2_000
 #: Primes over any number of blocks of a source (fixed values); each is prime to every count below it.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,14 +63,24 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 def _sized(docs: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
     spread = F.xxhash64(F.col(id_col), F.lit(11))
-    return docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), spread.alias("spread"))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), F.xxhash64(F.col(text)).alias("h"), word_count(F.col(text)).alias("size"), spread.alias("spread"))
+    # rows alike in id, source and text are numbered, so that KEY tells all rows apart
+    return sized.withColumn("copy", F.row_number().over(W.partitionBy("id", "source", "h").orderBy("spread")))
+
+
+KEY = ("id", "source", "h", "copy")
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    """Equal KEY; b has it as id_, source_, h_, copy_."""
+    return a["id"].eqNullSafe(b["id_"]) & a["source"].eqNullSafe(b["source_"]) & (a["h"] == b["h_"]) & (a["copy"] == b["copy_"])
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, parts, draws).
 
-    rows: id, source, size, source_size, target, start (place of its first word among its source's words).
-    parts: id, start, source, block, first and n (words of the row, counted from 0, that lie in the block).
+    rows: KEY, size, source_size, target, start (place of its first word among its source's words).
+    parts: KEY, block, first and n (words of the row, counted from 0, that lie in the block).
     draws: source, block, times, shard, slot: one row for each draw.
     """
     sized = written(_sized(docs, id_col, text, source), "sized")  # texts are read once
@@ -81,19 +91,22 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source
     facts = targets.join(per_source.select(F.col("source").alias("s"), "n_rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     facts = facts.withColumn("blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
     facts = facts.withColumn("draws", F.least(F.round(F.col("target") * F.col("blocks") / F.greatest("source_size", F.lit(1))).cast("long"), F.col("blocks") * MOST_TIMES))
+    facts = written(facts, "facts")
     grouped = sized.join(facts.select(F.col("source").alias("s"), "n_rows", "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("grp", groups)
     totals = grouped.groupBy("source", "grp").agg(F.sum("size").alias("group_size"))
     before = W.partitionBy("source").orderBy("grp").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(F.col("source").alias("s"), F.col("grp").alias("g"), F.coalesce(F.sum("group_size").over(before), F.lit(0)).alias("group_start"))
-    inside = W.partitionBy("source", "grp").orderBy("spread", "id").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "grp").orderBy("spread", "id", "h", "copy").rowsBetween(W.unboundedPreceding, -1)
     rows = grouped.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.join(totals, F.col("source").eqNullSafe(F.col("s")) & (F.col("grp") == F.col("g")))
-    rows = rows.select("id", "source", "size", "source_size", "target", (F.col("group_start") + F.col("inner")).alias("start"))
+    # merge joins by hint: sizes are estimated before rows are exploded, and no such side may be broadcast
+    rows = rows.join(totals.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("grp") == F.col("g")))
+    rows = rows.select(*KEY, "size", "source_size", "target", (F.col("group_start") + F.col("inner")).alias("start"))
+    rows = written(rows, "rows")
     n = F.lit(block_words)
     first, last = F.floor(F.col("start") / n), F.floor((F.col("start") + F.col("size") - 1) / n)
-    parts = rows.where("size > 0").select("id", "source", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
+    parts = rows.where("size > 0").select(*KEY, "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     low, high = F.greatest(F.col("start"), F.col("block") * n), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * n)
-    parts = parts.select("id", "start", "source", "block", (low - F.col("start")).alias("first"), (high - low).alias("n"))
+    parts = parts.select(*KEY, "block", (low - F.col("start")).alias("first"), (high - low).alias("n"))
     # draws, in runs of a thousand so that no row bears a source's whole list
     run = 1000
     line = W.orderBy(F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
@@ -108,13 +121,39 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source
     return rows, parts, draws
 
 
+def taken_parts(parts: DataFrame, draws: DataFrame) -> DataFrame:
+    """parts that the mix takes, with k, the number of times."""
+    takes = draws.groupBy("source", "block").agg(F.count(F.lit(1)).alias("k")).select(F.col("source").alias("s"), F.col("block").alias("b"), "k")
+    return parts.join(takes.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
+
+
 def taken_words(rows: DataFrame, parts: DataFrame, draws: DataFrame) -> DataFrame:
     """id, size, source_size, target, taken for each of rows."""
-    takes = draws.groupBy("source", "block").agg(F.count(F.lit(1)).alias("k")).select(F.col("source").alias("s"), F.col("block").alias("b"), "k")
-    joined = parts.join(takes, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    taken = joined.groupBy("id", "start", "source").agg(F.sum(F.col("n") * F.col("k")).alias("taken"))
-    taken = taken.select(F.col("id").alias("i2"), F.col("start").alias("t2"), F.col("source").alias("s2"), "taken")
-    # start tells rows of a source apart that repeat an id; rows without words have nothing taken
-    same = F.col("id").eqNullSafe(F.col("i2")) & (F.col("start") == F.col("t2")) & F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") > 0)
-    out = rows.join(taken, same, "left")
+    taken = taken_parts(parts, draws).groupBy(*KEY).agg(F.sum(F.col("n") * F.col("k")).alias("taken"))
+    taken = taken.select(*(F.col(c).alias(c + "_") for c in KEY), "taken").hint("merge")
+    out = rows.join(taken, _same(rows, taken), "left")
     return out.select("id", "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mix as rows with the columns of docs: for the first, second and third time that words of a row are
+    taken one row each, with the words taken that many times (the text as it was where these are all)."""
+    rows, parts, draws = mix_plan(docs, id_col, text, source, **options)
+    taken = taken_parts(parts, draws).groupBy(*KEY).agg(F.collect_list(F.struct("first", "n", "k")).alias("taken"))  # bounded by the row
+    taken = taken.join(rows.select(*(F.col(c).alias(c + "_") for c in KEY), "size").hint("merge"), F.col("id").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("source_")) & (F.col("h") == F.col("h_")) & (F.col("copy") == F.col("copy_")))
+    taken = taken.select(*(F.col(c + "_") for c in KEY), "size", F.array_sort("taken").alias("taken"))
+    numbered = docs.withColumn("h__", F.xxhash64(F.col(text)))
+    numbered = numbered.withColumn("copy__", F.row_number().over(W.partitionBy(id_col, source, "h__").orderBy(F.lit(1))))
+    same = F.col(id_col).eqNullSafe(F.col("id_")) & F.col(source).eqNullSafe(F.col("source_")) & (F.col("h__") == F.col("h_")) & (F.col("copy__") == F.col("copy_"))
+    both = numbered.join(taken.hint("merge"), same)
+    most = F.aggregate("taken", F.lit(0).cast("long"), lambda m, x: F.greatest(m, x["k"]))
+    both = both.withColumn("time__", F.explode(F.sequence(F.lit(1).cast("long"), most)))
+    left = F.filter("taken", lambda x: x["k"] >= F.col("time__"))
+    both = both.withColumn("left__", left).withColumn("n__", F.aggregate("left__", F.lit(0).cast("long"), lambda m, x: m + x["n"]))
+    words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
+    some = F.expr("array_join(flatten(transform(left__, x -> slice(words__, cast(x.first + 1 as int), cast(x.n as int)))), ' ')")
+    # a text is cut into words only where some are left out
+    both = both.withColumn("words__", F.when(F.col("n__") < F.col("size"), words))
+    new = F.when(F.col("n__") == F.col("size"), F.col(text)).otherwise(some)
+    columns = [new.alias(c) if c == text else F.length(new).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return both.select(*columns)
