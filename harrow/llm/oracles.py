@@ -30,6 +30,7 @@ s AS (
   SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
     (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
     coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+    len(list_filter(list_zip(w, w[2:]), lambda x: x[1] = x[2])) AS n_stutter,
     length(text) - length(replace(text, '!', '')) AS n_marks, coalesce(n_lines, 0) AS n_lines,
     length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_upper,
     length(text) - length(translate(text, 'abcdefghijklmnopqrstuvwxyz', '')) AS n_lower
@@ -37,7 +38,7 @@ s AS (
 v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s),
 q AS (
   SELECT *, NOT base_failed AND NOT (10 * n_symbols > 3 * n_words OR 10 * n_marks > 3 * n_words OR n_upper > n_lower
-    OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept FROM v)
+    OR 2 * n_dup_lines > n_lines OR 100 * n_stutter > 30 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept FROM v)
 """
 
 OP6 = STATS + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM q"

@@ -108,6 +108,13 @@ class Texts:
         _, later, row = self.get("lines")
         return np.bincount(row[later], minlength=len(self))
 
+    def _n_stutter(self):
+        """Words equal to the word before."""
+        starts, ends, row = self.get("words")
+        h = X.span_hash(self.get("prefix"), starts, ends)
+        again = np.concatenate(([False], (h[1:] == h[:-1]) & (row[1:] == row[:-1]))) if len(h) else np.zeros(0, bool)
+        return np.bincount(row[again], minlength=len(self))
+
     def _n_repeat_words(self):
         starts, ends, row = self.get("words")
         if len(starts) < REPEAT_WINDOW:
@@ -149,7 +156,11 @@ def _capitals(t: Texts):
 
 
 def _dup_lines(t: Texts):
-    return 10 * t.get("n_dup_lines") > 3 * t.get("n_lines")
+    return 2 * t.get("n_dup_lines") > t.get("n_lines")
+
+
+def _stutter(t: Texts):
+    return 100 * t.get("n_stutter") > REPEAT_PERCENT * t.get("n_words")
 
 
 def _word_length(t: Texts):
@@ -159,7 +170,7 @@ def _word_length(t: Texts):
 BASE_RULES = (Rule("few_words", _few_words), Rule("repetition", _repetition))
 RULES = (
     Rule("symbols", _symbols), Rule("exclamation", _exclamation), Rule("capitals", _capitals),
-    Rule("dup_lines", _dup_lines), Rule("word_length", _word_length),
+    Rule("dup_lines", _dup_lines), Rule("stutter", _stutter), Rule("word_length", _word_length),
 )
 
 
