@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 
 from harrow.llm import bytesx as X
 from harrow.llm.graph import components
-from harrow.llm.shared import ship, written
+from harrow.llm.shared import ship, shuffle_partitions, written
 
 BANDS, ROWS = 9, 2
 #: Of 2 * BANDS * ROWS minhashes, equal ones that a later candidate needs (3.7 standard deviations below 0.8).
 LEAST_EQUAL = 20
+#: Members of an entry that are compared across components in one unit of work.
+BLOCK = 2_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -110,6 +112,63 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return both.select("x", "c", "tx", "tc").mapInArrow(run, f"x {id_type}, c {id_type}")
 
 
+def _across(facts: DataFrame, percent: int, least: int) -> DataFrame:
+    """Pairs (x, c), x > c, of an entry's members in different components whose sizes and sketches allow the similarity.
+
+    An entry of many members is cut into blocks of about ``BLOCK``; each pair of blocks is a unit of work of its
+    own, so no task holds more than two blocks.
+    """
+    id_type = facts.schema["id"].dataType.simpleString()
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    units = facts.withColumn("p", mine).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = units.select("t", F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"), "p", "id", "g", "n", "s")
+    dealt = units.repartition(shuffle_partitions(facts.sparkSession), "t", "u", "v").sortWithinPartitions("t", "u", "v", "id")
+
+    def compare(ids: pa.Array, p, g, n, s):
+        different = len(np.unique(p)) > 1
+        a, b = [], []
+        for i in range(1, len(n)):
+            ok = (g[:i] != g[i]) & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i]))
+            if different:
+                ok &= p[:i] != p[i]
+            j = np.flatnonzero(ok)
+            if len(j):
+                j = j[(s[j] == s[i]).sum(1) >= least]
+                a.append(np.full(len(j), i))
+                b.append(j)
+        if a:
+            a, b = np.concatenate(a), np.concatenate(b)
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], ["x", "c"])
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def settle():
+            t = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            s = t["s"].combine_chunks()
+            width = len(s.values) // len(s) if len(s) else 0
+            return compare(t["id"].combine_chunks(), t["p"].to_numpy(), t["g"].to_numpy(), t["n"].to_numpy(), s.flatten().to_numpy().reshape(len(s), width))
+
+        for batch in batches:
+            key = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
+            edge = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(key)])).tolist()
+            for i, j in zip(edge[:-1], edge[1:], strict=True):
+                if j == i:
+                    continue
+                now = tuple(key[i])
+                if now != last and held and (out := settle()) is not None:
+                    yield out
+                held.append(batch.slice(i, j - i))
+                last = now
+        if held and (out := settle()) is not None:
+            yield out
+
+    return dealt.mapInArrow(run, f"x {id_type}, c {id_type}")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """id, n_shingles, component_id, kept for every row of docs."""
     ship(docs.sparkSession)
@@ -136,14 +195,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     # entries whose members are still apart: compared across components where the similarity is possible
     placed = tables.join(entries.select("t"), "t").join(comp.withColumnRenamed("node", "id"), "id", "left").select("t", "id", F.coalesce("component", "id").alias("g"))
     placed = written(placed, "placed")
-    apart = placed.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi").select("t")
+    apart = placed.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi").select("t", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     facts = placed.join(apart, "t").join(reps.select("id", "n", "s"), "id")
-    left = facts.select("t", *(F.col(c).alias(c + "1") for c in ("id", "g", "n", "s")))
-    right = facts.select("t", *(F.col(c).alias(c + "2") for c in ("id", "g", "n", "s")))
-    equal = F.aggregate(F.zip_with("s1", "s2", lambda p, q: (p == q).cast("int")), F.lit(0), lambda m, x: m + x)
-    possible = (F.col("id1") > F.col("id2")) & (F.col("g1") != F.col("g2")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
-    least = LEAST_EQUAL * (2 * bands * rows) // (2 * BANDS * ROWS)
-    across = left.join(right, (left.t == right.t) & possible & (equal >= least)).select(F.col("id1").alias("x"), F.col("id2").alias("c")).distinct()
+    across = _across(facts, percent, LEAST_EQUAL * (2 * bands * rows) // (2 * BANDS * ROWS)).distinct()
     across = written(across.join(near, ["x", "c"], "left_anti"), "across")
     if across.limit(1).count():
         more = written(_verified(across, texts, k, percent), "links")
