@@ -112,33 +112,49 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return both.select("x", "c", "tx", "tc").mapInArrow(run, f"x {id_type}, c {id_type}")
 
 
-def _across(facts: DataFrame, percent: int, least: int) -> DataFrame:
+def _across(facts: DataFrame, percent: int, least: int, best: bool) -> DataFrame:
     """Pairs (x, c), x > c, of an entry's members in different components whose sizes and sketches allow the similarity.
 
+    best: for each member outside the largest component only the one with the most equal minhashes; else all, each
+    pair in the first table that both are in.
     An entry of many members is cut into blocks of about ``BLOCK``; each pair of blocks is a unit of work of its
     own, so no task holds more than two blocks.
     """
     id_type = facts.schema["id"].dataType.simpleString()
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     units = facts.withColumn("p", mine).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("t", F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"), "p", "id", "g", "n", "s")
+    units = units.select("t", F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"), "p", "id", "g", "n", "s", "i", "j", "a", "b")
     dealt = units.repartition(shuffle_partitions(facts.sparkSession), "t", "u", "v").sortWithinPartitions("t", "u", "v", "id")
 
-    def compare(ids: pa.Array, p, g, n, s):
-        different = len(np.unique(p)) > 1
-        a, b = [], []
-        for i in range(1, len(n)):
-            ok = (g[:i] != g[i]) & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i]))
-            if different:
-                ok &= p[:i] != p[i]
+    def compare(t: pa.Table):
+        ids = t["id"].combine_chunks()
+        p, g, n, i_at, j_at = (t[c].to_numpy() for c in ("p", "g", "n", "i", "j"))
+        s, a, b = (t[c].combine_chunks().flatten().to_numpy().reshape(len(ids), -1) for c in ("s", "a", "b"))
+        two = len(np.unique(p)) > 1
+        names, size = np.unique(g, return_counts=True)
+        x, c = [], []
+        for i in np.flatnonzero(g != names[size.argmax()]).tolist() if best else range(1, len(n)):
+            end = len(n) if best else i
+            ok = (g[:end] != g[i]) & (100 * np.minimum(n[:end], n[i]) >= percent * np.maximum(n[:end], n[i]))
+            if two:
+                ok &= p[:end] != p[i]
+            if not best:
+                ok &= (a[:end, : i_at[i]] != a[i, : i_at[i]]).all(1) & (b[:end, : j_at[i]] != b[i, : j_at[i]]).all(1)
             j = np.flatnonzero(ok)
-            if len(j):
-                j = j[(s[j] == s[i]).sum(1) >= least]
-                a.append(np.full(len(j), i))
-                b.append(j)
-        if a:
-            a, b = np.concatenate(a), np.concatenate(b)
-            return pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], ["x", "c"])
+            if not len(j):
+                continue
+            equal = (s[j] == s[i]).sum(1)
+            if best:
+                k = int(equal.argmax())
+                if equal[k] >= least:
+                    x.append([max(i, int(j[k]))])
+                    c.append([min(i, int(j[k]))])
+            elif (equal >= least).any():
+                j = j[equal >= least]
+                x.append(np.full(len(j), i))
+                c.append(j)
+        if x:
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(x))), ids.take(pa.array(np.concatenate(c)))], ["x", "c"])
         return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,11 +162,9 @@ def _across(facts: DataFrame, percent: int, least: int) -> DataFrame:
         last = None
 
         def settle():
-            t = pa.Table.from_batches(held).combine_chunks()
+            t = pa.Table.from_batches(held)
             held.clear()
-            s = t["s"].combine_chunks()
-            width = len(s.values) // len(s) if len(s) else 0
-            return compare(t["id"].combine_chunks(), t["p"].to_numpy(), t["g"].to_numpy(), t["n"].to_numpy(), s.flatten().to_numpy().reshape(len(s), width))
+            return compare(t)
 
         for batch in batches:
             key = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
@@ -178,10 +192,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     reps = keyed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     reps = written(reps.select("id", "n", "a", "b", "s"), "reps")
 
-    half = reps.select("id", F.explode("a").alias("a"))
+    half = reps.select("id", F.posexplode("a").alias("i", "a"))
     met = half.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("a")
     half = half.join(met, "a").join(reps.select("id", "b"), "id")
-    tables = written(half.select("id", F.explode(F.transform("b", lambda b: F.xxhash64("a", b))).alias("t")), "tables")
+    keyed_tables = half.select("id", "i", "a", F.posexplode("b").alias("j", "b")).select("id", F.col("i").cast("byte").alias("i"), F.col("j").cast("byte").alias("j"), F.xxhash64("a", "b").alias("t"))
+    tables = written(keyed_tables, "tables")
     entries = tables.groupBy("t").agg(F.min("id").alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1").select("t", "c")
     near = tables.join(entries, "t").where("id != c").select(F.col("id").alias("x"), "c").distinct()
     sizes = reps.select("id", "n")
@@ -192,17 +207,27 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     links = written(_verified(near, texts, k, percent), "links")
     comp = written(components(links, "x", "c"), "components")
 
-    # entries whose members are still apart: compared across components where the similarity is possible
-    placed = tables.join(entries.select("t"), "t").join(comp.withColumnRenamed("node", "id"), "id", "left").select("t", "id", F.coalesce("component", "id").alias("g"))
-    placed = written(placed, "placed")
-    apart = placed.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi").select("t", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    facts = placed.join(apart, "t").join(reps.select("id", "n", "s"), "id")
-    across = _across(facts, percent, LEAST_EQUAL * (2 * bands * rows) // (2 * BANDS * ROWS)).distinct()
-    across = written(across.join(near, ["x", "c"], "left_anti"), "across")
-    if across.limit(1).count():
-        more = written(_verified(across, texts, k, percent), "links")
-        if more.limit(1).count():
-            comp = written(components(links.union(more), "x", "c"), "components")
+    # Entries whose members are still apart are compared across components: first each member with its likeliest
+    # other while that joins components, then all that remain possible.
+    tried, found, best = near, links, True
+    least = LEAST_EQUAL * (2 * bands * rows) // (2 * BANDS * ROWS)
+    crowded = written(tables.join(entries.select("t"), "t"), "crowded")
+    while True:
+        placed = written(crowded.join(comp.withColumnRenamed("node", "id"), "id", "left").select("t", "id", "i", "j", F.coalesce("component", "id").alias("g")), "placed")
+        apart = placed.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi").select("t", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        crowded = placed.join(apart, "t")
+        facts = crowded.join(reps.select("id", "n", "s", "a", "b"), "id")
+        pairs = written(_across(facts, percent, least, best).distinct(), "across")
+        pairs = written(pairs.join(tried, ["x", "c"], "left_anti"), "across")
+        more = written(_verified(pairs, texts, k, percent), "links")
+        joined = more.limit(1).count() > 0
+        if joined:
+            found = found.union(more)
+            comp = written(components(found, "x", "c"), "components")
+        if not best:
+            break
+        tried, best = tried.union(pairs), joined
+        crowded = crowded.select("t", "id", "i", "j")
 
     out = sigs.join(classes, ["k1", "k2", "n"], "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
