@@ -15,7 +15,7 @@ def _star(both: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """node, component (its least reachable node) for every node of an edge between different nodes.
+    """node, component (its least reachable node) for every node that is not itself the least of its component.
 
     Neighbour lists are never gathered: a step is a minimum by node (combined before the shuffle) and a join.
     """
