@@ -45,8 +45,7 @@ class Symbols:
         if unit == "byte":
             self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
             n = max(0, len(data) - k + 1)
-            at = np.arange(n)
-            self.hash = X.span_hash(s, at, at + k)
+            self.hash = X.mix((s[k : k + n] - s[:n]) * X.powers(len(s))[1][:n])
             self.starts = self.ends = None
         else:
             self.starts, self.ends, self.row = X.words(data, offsets)
@@ -75,7 +74,7 @@ def count_anchors(docs: DataFrame, unit: str, window: int, k: int) -> DataFrame:
             for first, _, d, o in X.pieces(data, offsets):
                 x = Symbols(d, o, unit, k)
                 _, at = _anchored(x, window, k)
-                at = np.unique(at)
+                at = at[np.concatenate(([True], at[1:] != at[:-1]))] if len(at) else at  # places never go back
                 # order by text and value: a value's repeats in a text become one row
                 row, value = x.row[at].astype(np.int64), x.hash[at]
                 order = np.lexsort((value, row))

@@ -52,17 +52,18 @@ def _dense(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 class SuffixOrder:
     """Windows of `length` bytes of several strings: ranks of their prefixes of 4, 8, 16 ... bytes."""
 
-    def __init__(self, data: np.ndarray, left: np.ndarray, length: int):
-        """left: bytes from each place to the end of its string."""
+    def __init__(self, data: np.ndarray, left: np.ndarray, length: int, levels: bool = True):
+        """left: bytes from each place to the end of its string.  levels: ranks of all prefixes are kept, for lcp()."""
         self.levels: list[tuple[int, np.ndarray]] = []  # (h, rank of the h bytes from a place on; negative and distinct near an end)
         n, h = len(data), 4 if length >= 4 else 1
-        alone = -1 - np.arange(n)
+        alone = -1 - np.arange(n) if levels else None
         rank = data.astype(np.int64)
         if h == 4:
             four = np.concatenate((data, np.zeros(3, np.uint8))).astype(np.int64)
             rank = _dense(four[:n] << 8 | four[1 : n + 1], four[2 : n + 2] << 8 | four[3 : n + 3])
         while True:
-            self.levels.append((h, np.where(left >= h, rank, alone)))
+            if levels:
+                self.levels.append((h, np.where(left >= h, rank, alone)))
             if h == length:
                 break
             step = h if 2 * h <= length else length - h
@@ -75,16 +76,21 @@ class SuffixOrder:
         key = rank[self.places]
         b = np.uint64(32)
         self.order = (np.sort((key.astype(np.uint64) << b) | self.places.astype(np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        self.length = length
+        self.length, self.rank = length, rank
 
-    def lcp(self) -> np.ndarray:
-        """Common prefix of each window in suffix order with the one before, up to the window's length; 0 first."""
+    def lcp(self, floor: int) -> np.ndarray:
+        """Common prefix of each window in suffix order with the one before, up to the window's length; 0 first.
+        One below floor counts as 0; with levels for all, a floor of the window's length needs the last only."""
         a, b = self.order[:-1], self.order[1:]
-        n = np.zeros(len(a), np.int64)
-        last = len(self.levels[0][1]) - 1
-        for h, rank in reversed(self.levels):
-            p, q = np.minimum(a + n, last), np.minimum(b + n, last)
-            n += np.where((n + h <= self.length) & (rank[p] == rank[q]), h, 0)
+        if floor >= self.length:
+            n = np.where(self.rank[a] == self.rank[b], self.length, 0)
+        else:
+            n = np.zeros(len(a), np.int64)
+            last = len(self.levels[0][1]) - 1
+            for h, rank in reversed(self.levels):
+                p, q = np.minimum(a + n, last), np.minimum(b + n, last)
+                n += np.where((n + h <= self.length) & (rank[p] == rank[q]), h, 0)
+            n[n < floor] = 0
         return np.concatenate(([0], n)) if len(self.order) else n
 
 
@@ -112,10 +118,11 @@ def smaller_match(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     return best
 
 
-def previous_factors(data: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places of the windows, longest previous factor, longest following factor), up to the window's length."""
-    s = SuffixOrder(data, left, length)
-    lcp = s.lcp()
+def previous_factors(data: np.ndarray, left: np.ndarray, length: int, floor: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of the windows, longest previous factor, longest following factor), up to the window's length.
+    Factors below floor count as 0, which saves following them."""
+    s = SuffixOrder(data, left, length, floor < length)
+    lcp = s.lcp(floor)
     earlier, later = smaller_match(s.order, lcp), smaller_match(-s.order, lcp)
     out = np.zeros((2, len(data)), np.int64)
     out[0, s.order], out[1, s.order] = earlier, later
@@ -137,7 +144,7 @@ class Factors(A.Judge):
         end = np.cumsum(sizes)
         data = np.concatenate(segments)
         left = np.repeat(end, sizes) - np.arange(len(data))
-        places, earlier, later = previous_factors(data, left, self.length)
+        places, earlier, later = previous_factors(data, left, self.length, self.length)
         first = earlier < self.length
         gone = ~first if self.keep == "first" else ~first | (later >= self.length)
         cut = np.searchsorted(places, end)[:-1]
