@@ -84,7 +84,7 @@ def count_training(docs: DataFrame) -> DataFrame:
         for batch in batches:
             held = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
             data, offsets = X.texts(batch.column(2))
-            words, grams, unseen = [], [], []
+            words, grams, unseen = [np.zeros(0, np.uint64)], [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], []
             for first, end, d, o in X.pieces(data, offsets):
                 d = X.lower(d)
                 h, row = word_hashes(d, o)
@@ -243,7 +243,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held: Col
                 cost = word_table.get(h)
                 there = ~np.isnan(cost)
                 n_tokens = np.bincount(row, minlength=rows) + 1
-                base = np.bincount(row[there], cost[there], rows)
+                base = np.bincount(row[there], cost[there], rows).astype(np.float64)
                 known = np.bincount(row[there], minlength=rows)
                 wk, wn = lists(h[~there], row[~there], rows)
                 key, begin = strings(d, o)
