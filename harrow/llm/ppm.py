@@ -17,6 +17,7 @@ and text get the same scores.  With no training rows every token is unknown and
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -185,16 +186,16 @@ def most_frequent(df: DataFrame, rows: int) -> tuple[int, DataFrame]:
     return least, df.where(F.col("n") >= least)
 
 
-_TABLES: dict[tuple, tuple] = {}
+_TABLES: dict[str, tuple] = {}
 
 
-def _tables(sent) -> tuple[Table, Table]:
-    key = (sent.id if hasattr(sent, "id") else id(sent),)
-    if key not in _TABLES:
+def _tables(sent, name: str) -> tuple[Table, Table]:
+    """A worker's tables; name is that of one call of score()."""
+    if name not in _TABLES:
         _TABLES.clear()
         (wk, wv), (gk, gv) = sent.value
-        _TABLES[key] = (Table(wk, wv), Table(gk, gv))
-    return _TABLES[key]
+        _TABLES[name] = (Table(wk, wv), Table(gk, gv))
+    return _TABLES[name]
 
 
 def _arrays(df: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
@@ -219,6 +220,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held: Col
     _, top_words = most_frequent(common, table_rows)
     _, top_grams = most_frequent(costs, table_rows)
     sent = spark.sparkContext.broadcast((_arrays(top_words, "cost"), _arrays(top_grams, "cost")))
+    name = uuid.uuid4().hex
     id_type = own.schema["id"].dataType.simpleString()
     end_cost, one = float(np.log10(ends + 1.0)), float(np.log10(float(total + (types + 1))))
 
@@ -234,7 +236,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held: Col
         return pa.ListArray.from_arrays(bound, pa.array(keys[begin].view(np.int64))), pa.ListArray.from_arrays(bound, pa.array(n.astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_table, gram_table = _tables(sent)
+        word_table, gram_table = _tables(sent, name)
         for batch in batches:
             data, offsets = X.texts(batch.column(3))
             for first, end, d, o in X.pieces(data, offsets):
