@@ -31,6 +31,8 @@ from harrow.llm.shared import ship, written
 ORDER = 5
 #: Most entries of each table that workers hold: 16 bytes each.
 TABLE_ROWS = 1_000_000
+#: Bytes of text scored together: some hundred bytes of arrays stand beside each.
+SCORED_BYTES = 1 << 19
 BEGIN, END, SYMBOLS = 0xFE, 0xFF, 256
 
 
@@ -195,6 +197,7 @@ def _tables(sent, name: str) -> tuple[Table, Table]:
         _TABLES.clear()
         (wk, wv), (gk, gv) = sent.value
         _TABLES[name] = (Table(wk, wv), Table(gk, gv))
+        vars(sent).pop("_value", None)  # a worker that lives on would keep what it was sent beside the tables
     return _TABLES[name]
 
 
@@ -239,7 +242,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held: Col
         word_table, gram_table = _tables(sent, name)
         for batch in batches:
             data, offsets = X.texts(batch.column(3))
-            for first, end, d, o in X.pieces(data, offsets):
+            for first, end, d, o in X.pieces(data, offsets, SCORED_BYTES):
                 d, rows = X.lower(d), end - first
                 h, row = word_hashes(d, o)
                 cost = word_table.get(h)
