@@ -6,10 +6,12 @@ Scores are the terminal capacities of a graph; edges join neighbours in page ord
 same element.  A maximum flow separates main text from the rest.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by one newline.
-Scripts, styles, comments, head and other raw elements give no text.  Null html counts as empty and gives an
+Scripts, styles, comments, titles and the elements in MUTED give no text.  Null html counts as empty and gives an
 empty text, like a page without main text.  Damaged markup is read as browsers do in outline: unknown end tags
-are passed over, an end tag closes what stands open in it, an unfinished tag at the end is dropped.  Page size
-only bounds the time.  Further columns are not read.
+are passed over, an end tag closes what stands open in it, an unfinished tag at the end is dropped.  Elements in
+RAW run on to their end tag, as in browsers, or else to the end; those in MUTED end with what they stand in at the
+latest and, where no end tag of their name follows, before the next element in FLOW; a head ends before the first element
+that cannot stand in it.  Page size only bounds the time.  Further columns are not read.
 """
 
 from __future__ import annotations
@@ -28,8 +30,11 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _SPACE = re.compile(r"\s+")
-#: Elements whose content is no text of the page (fixed names).
-RAW = frozenset("script style noscript template textarea iframe object svg math select option head title canvas audio video".split())
+#: Elements whose content is no text of the page (fixed names): without and with elements in them.
+RAW = frozenset("script style textarea title".split())
+MUTED = frozenset("noscript template iframe object svg math select option canvas audio video".split())
+FLOW = frozenset("address article aside blockquote body center details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img bdo ruby rt rp".split())
 #: What standing in an element says, for (+) or against (-) main text.
@@ -82,6 +87,23 @@ def blocks(page: str) -> list[Block]:
     number, pos, links = 0, 0, 0
     parts: list[str] = []
     linked = 0
+    # open elements from the outermost one in MUTED: its name and what stands in it
+    muted: list[str] = []
+    last_end: dict[str, int] = {}
+
+    def ends_later(tag: str) -> bool:
+        if tag not in last_end:
+            last_end[tag] = max((m.start() for m in re.finditer(rf"</{tag}(?=[\s/>])", page, re.I)), default=-1)
+        return last_end[tag] >= pos
+
+    def reach(tag: str) -> int:
+        """Place on the stack of what an end tag closes, 0 for nothing."""
+        k = len(stack) - 1
+        while k and stack[k][0] != tag:
+            if tag in INLINE and stack[k][0] not in INLINE:  # an inline end tag reaches no further than its block
+                return 0
+            k -= 1
+        return k
 
     def flush() -> None:
         nonlocal linked
@@ -100,7 +122,7 @@ def blocks(page: str) -> list[Block]:
     while True:
         m = _TAG.search(page, pos)
         end = m.start() if m else len(page)
-        if end > pos:
+        if end > pos and not muted:
             parts.append(page[pos:end])
             if links:
                 linked += end - pos
@@ -111,18 +133,48 @@ def blocks(page: str) -> list[Block]:
         if not tag:
             continue
         tag, closing, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
+        if tag in RAW:
+            if not closing and not attributes.endswith("/"):
+                parts.append(" ") if tag == "textarea" and not muted else None
+                e = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, pos)
+                pos = e.end() if e else len(page)
+            continue
+        if muted:
+            if closing:
+                if tag in muted:
+                    del muted[len(muted) - 1 - muted[::-1].index(tag) :]
+                    continue
+                if not reach(tag):
+                    continue
+                muted.clear()
+            elif tag == "body" and any(x[0] == "head" for x in stack):
+                muted.clear()
+            else:
+                if tag in FLOW:
+                    k = next((k for k, x in enumerate(muted) if x in MUTED and not ends_later(x)), len(muted))
+                    del muted[k:]
+                if muted:
+                    while len(muted) > 1 and muted[-1] in (("option",) if tag in ("option", "optgroup") else CLOSED_BY.get(tag, ())):
+                        muted.pop()
+                    if muted == ["option"] and tag in ("option", "optgroup"):
+                        muted.clear()
+                    if tag not in VOID and not attributes.endswith("/"):
+                        muted.append(tag)
+                    continue
         if not closing:
+            if stack[-1][0] == "head" and tag not in IN_HEAD:
+                flush()
+                stack.pop()
+            elif tag == "body":
+                k = next((k for k, x in enumerate(stack) if x[0] == "head"), len(stack))
+                del stack[k:]
             if tag == "br":
                 parts.append(" ")
                 continue
-            if tag in RAW:
+            if tag in MUTED:
                 if not attributes.endswith("/"):
-                    if tag not in INLINE:
-                        parts.append(" ") if tag in ("select", "textarea") else None
-                    e = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, pos)
-                    if tag == "head" and not e:
-                        e = re.compile(r"(?=<body\b)", re.I).search(page, pos)
-                    pos = e.end() if e else len(page)
+                    parts.append(" ") if tag == "select" else None
+                    muted.append(tag)
                 continue
             block = tag not in INLINE
             if block:
@@ -142,12 +194,7 @@ def blocks(page: str) -> list[Block]:
             stack.append((tag, around + (_weight(tag, attributes, around) if attributes or tag in ELEMENT else 0.0), number))
             links += tag == "a"
         elif tag not in VOID:
-            k = len(stack) - 1
-            while k and stack[k][0] != tag:
-                if tag in INLINE and stack[k][0] not in INLINE:  # an inline end tag reaches no further than its block
-                    k = 0
-                    break
-                k -= 1
+            k = reach(tag)
             if tag not in INLINE:
                 flush()
             if k:
