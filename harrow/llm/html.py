@@ -50,40 +50,61 @@ ROLES = {"navigation": -8.0, "banner": -8.0, "contentinfo": -8.0, "complementary
 #: Names that set no side of their own inside an article's body.
 CLOSED_BY = {"p": frozenset(("p",)), "li": frozenset(("li", "p")), "dt": frozenset(("dt", "dd", "p")), "dd": frozenset(("dt", "dd", "p")), "tr": frozenset(("tr", "td", "th", "p")), "td": frozenset(("td", "th", "p")), "th": frozenset(("td", "th", "p"))}
 ADJACENT, SIBLING, SCALE = 0.8, 0.7, 1000
+#: Elements around a whole page, on which names against main text tell of its parts, and words before what a name says is there or not.
+WHOLE = frozenset("html body main".split())
+STATES = frozenset("has no not with without".split())
+#: Least that names alone leave of a hint, and what each word of a block from the twentieth to the fiftieth gives back of it.
+NAMED, PROSE = -8.0, 0.2
 
 
-def _weight(tag: str, attributes: str, inside: float) -> float:
-    """What an element adds to the score of the blocks in it."""
-    out = ELEMENT.get(tag, 0.0)
+def _side(tag: str, value: str, named: float) -> float:
+    """What the names in a class or id say: of names for and against main text the first one sets the side."""
+    names = {x.lower() for x in _NAME.findall(value)}
+    if not names & AGAINST or names & FOR and names & AGAINST <= {"header"}:
+        return 1.5 if names & FOR else 0.0
+    if tag in WHOLE or tag == "article" and named >= 0:
+        return 1.5 if names & FOR else 0.0
+    sides = []
+    for token in value.split():
+        own = [x.lower() for x in _NAME.findall(token)]
+        if not AGAINST.isdisjoint(own):
+            if own[0] not in STATES:
+                sides.append(NAMED)
+        elif not FOR.isdisjoint(own):
+            sides.append(1.5)
+    if NAMED not in sides:
+        return 1.5 if sides else 0.0
+    return NAMED if sides[0] == NAMED else 0.0
+
+
+def _weight(tag: str, attributes: str, inside: float, named: float) -> tuple[float, float]:
+    """What an element adds to the score of the blocks in it: itself, its role and hiding; its names."""
+    out, names = ELEMENT.get(tag, 0.0), 0.0
     if tag == "header" and inside > 0:
         out = -1.0  # of an article: holds its heading
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or "").strip("\"'")
             if name in ("class", "id"):
-                names = {x.lower() for x in _NAME.findall(value)}
-                if names & AGAINST and not (names & FOR and names & AGAINST <= {"header", "text"}):
-                    out -= 8.0
-                elif names & FOR:
-                    out += 1.5
+                names += _side(tag, value, named)
             elif name == "role":
                 out += ROLES.get(value.lower(), 0.0)
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 out -= 12.0
-    return out
+    return out, names
 
 
 class Block:
-    __slots__ = ("depth", "hint", "links", "parent", "tag", "text")
+    __slots__ = ("depth", "firm", "hint", "links", "parent", "tag", "text")
 
-    def __init__(self, tag: str, hint: float, parent: int, depth: int):
-        self.tag, self.hint, self.parent, self.depth, self.text, self.links = tag, hint, parent, depth, "", 0
+    def __init__(self, tag: str, hint: float, parent: int, depth: int, firm: float):
+        self.tag, self.hint, self.parent, self.depth, self.firm, self.text, self.links = tag, hint, parent, depth, firm, "", 0
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    # open elements: name, weight of it and all around it, number, whether a block
-    stack: list[tuple[str, float, int]] = [("#", 0.0, 0)]
+    # open elements: name, weight of it and all around it, number, that weight without names
+    stack: list[tuple[str, float, int, float]] = [("#", 0.0, 0, 0.0)]
     number, pos, links = 0, 0, 0
     parts: list[str] = []
     linked = 0
@@ -113,7 +134,7 @@ def blocks(page: str) -> list[Block]:
                 k = len(stack) - 1
                 while k and stack[k][0] in INLINE:
                     k -= 1
-                b = Block(stack[k][0], stack[-1][1], stack[max(0, k - 1)][2], k)
+                b = Block(stack[k][0], stack[-1][1], stack[max(0, k - 1)][2], k, stack[-1][3])
                 b.text, b.links = text, linked
                 out.append(b)
             parts.clear()
@@ -190,8 +211,9 @@ def blocks(page: str) -> list[Block]:
             if tag in VOID or attributes.endswith("/") and not block:
                 continue
             number += 1
-            around = stack[-1][1]
-            stack.append((tag, around + (_weight(tag, attributes, around) if attributes or tag in ELEMENT else 0.0), number))
+            _, around, _, firm = stack[-1]
+            own, names = _weight(tag, attributes, around, around - firm) if attributes or tag in ELEMENT else (0.0, 0.0)
+            stack.append((tag, around + own + names, number, firm + own))
             links += tag == "a"
         elif tag not in VOID:
             k = reach(tag)
@@ -207,7 +229,8 @@ def blocks(page: str) -> list[Block]:
 def score(b: Block) -> float:
     """Classifier: above 0 for main text."""
     words = b.text.count(" ") + 1
-    out = b.hint - 1.2 + 0.06 * min(words, 40) + 0.4 * min(3, sum(map(b.text.count, ".!?")))
+    hint = max(b.hint, min(b.firm, NAMED + PROSE * min(30, max(0, words - 20))))
+    out = hint - 1.2 + 0.06 * min(words, 40) + 0.4 * min(3, sum(map(b.text.count, ".!?")))
     if b.tag in ("p", "pre", "blockquote"):
         out += 1.0
     elif b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
