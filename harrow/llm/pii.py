@@ -2,7 +2,8 @@
 
 A value is found by a pattern, validated (checksum, calendar, ranges), and its characters are permuted within its
 format: digits stay digits, letters letters of the same case, check digits are worked out anew, dates stay
-dates.  The permutation depends on the key, the kind and the format only, so equal values (separators and the case
+dates.  Dates are numbers or have an English month, in any order with the year first or last; the year is one of
+1900 to 2099, ordinals end as they should, and month and day keep their number of digits.  A time after a date stays.  The permutation depends on the key, the kind and the format only, so equal values (separators and the case
 of letters aside) get equal pseudonyms in all documents, different ones different pseudonyms, and who has the key can invert it.
 
 Nulls: a null text stays null and has no values.  Texts without values come back as they are.  Where patterns
@@ -13,9 +14,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import date
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -149,55 +153,43 @@ def _iban(m: re.Match, key: bytes, back: bool) -> str | None:
     return "".join(c if c == " " else next(out) for c in value)
 
 
-_FIRST_DAY, _DAYS = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal() - date(1900, 1, 1).toordinal() + 1
 MONTHS = "January February March April May June July August September October November December".split()
 
 
-def _moved(year: int, month: int, day: int, key: bytes, back: bool) -> date | None:
-    try:
-        x = date(year, month, day).toordinal() - _FIRST_DAY
-    except ValueError:
+@lru_cache(maxsize=None)
+def _days(least_day: int, one_month: bool, one_day: bool, month: int = 0) -> array:
+    """Days of 1900 to 2099 in order whose month and day have one digit or two; of one month only if it is given."""
+    days = map(date.fromordinal, range(date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal() + 1))
+    return array("i", (d.toordinal() for d in days if d.day >= least_day and (d.month < 10, d.day < 10) == (one_month, one_day) and month in (0, d.month)))
+
+
+def _moved(year: int, month: int, day: int, key: bytes, back: bool, kind: str = "date", least_day: int = 1, only: int = 0) -> date | None:
+    """Permutes a date among those with as many digits in month and day, so that every spelling stays one of its kind."""
+    if not 1900 <= year <= 2099 or not _is_date(year, month, day):
         return None
-    return date.fromordinal(_FIRST_DAY + Feistel(key, "date", _DAYS).permute(x, back)) if 0 <= x < _DAYS else None
+    days = _days(least_day, month < 10, day < 10, only)
+    x = bisect_left(days, date(year, month, day).toordinal())
+    return date.fromordinal(days[Feistel(key, f"{kind}/{month < 10:d}{day < 10:d}", len(days)).permute(x, back)])
 
 
 def _iso(m: re.Match, key: bytes, back: bool) -> str | None:
     d = _moved(int(m["y"]), int(m["m"]), int(m["d"]), key, back)
-    return d and f"{d.year:04d}{m['s']}{d.month:02d}{m['s']}{d.day:02d}"
+    return d and f"{d.year:04d}{m['s']}{d.month:0{len(m['m'])}d}{m['s']}{d.day:0{len(m['d'])}d}"
 
 
-def _numeric_date(m: re.Match, key: bytes, back: bool) -> str | None:
-    """One format for all of a separator: / has the month first, . and - the day; where the second number is over 12 the other way."""
-    a, b, s = int(m["a"]), int(m["b"]), m["t"]
+def _any_numeric_date(m: re.Match, key: bytes, back: bool) -> str | None:
+    """One format for all of a separator: / has the month first, . and - the day; dates that are valid the other way only are permuted among themselves."""
+    a, b, year, s = int(m["a"]), int(m["b"]), int(m["v"]), m["t"]
     month_first = s == "/"
-    month, day = (a, b) if month_first else (b, a)
-    d = _moved(int(m["v"]), month, day, key, back)
-    return d and "{:02d}{}{:02d}{}{:04d}".format(*((d.month, s, d.day) if month_first else (d.day, s, d.month)), s, d.year)
-
-
-def _other_numeric_date(m: re.Match, key: bytes, back: bool) -> str | None:
-    """Dates that are valid the other way only are permuted among themselves."""
-    a, b, s = int(m["a"]), int(m["b"]), m["t"]
-    day_first = s == "/"
-    day, month, year = (a, b, int(m["v"])) if day_first else (b, a, int(m["v"]))
-    if day <= 12 or not 1900 <= year <= 2099:
-        return None
-    try:
-        date(year, month, day)
-    except ValueError:
+    d = _moved(year, *((a, b) if month_first else (b, a)), key, back)
+    if not d:
+        month_first = not month_first
+        month, day = (a, b) if month_first else (b, a)
+        d = _moved(year, month, day, key, back, "date/other", 13) if day > 12 else None
+    if not d:
         return None
-    late = [(y, mo, d) for y, mo in ((year, month),) for d in (day,)][0]
-    x = ((late[0] - 1900) * 12 + late[1] - 1) * 16 + late[2] - 13  # days 13 to 28 only; 29 to 31 stay apart
-    if day > 28:
-        rest = [(y, mo, d) for y in range(1900, 2100) for mo in range(1, 13) for d in (29, 30, 31) if _is_date(y, mo, d)]
-        y, mo, d = rest[Feistel(key, "date/late", len(rest)).permute(rest.index(late), back)]
-    else:
-        x = Feistel(key, "date/other", 200 * 12 * 16).permute(x, back)
-        x, d = divmod(x, 16)
-        y, mo = divmod(x, 12)
-        y, mo, d = y + 1900, mo + 1, d + 13
-    first, second = (d, mo) if day_first else (mo, d)
-    return f"{first:02d}{s}{second:02d}{s}{y:04d}"
+    first, second = (d.month, d.day) if month_first else (d.day, d.month)
+    return f"{first:0{len(m['a'])}d}{s}{second:0{len(m['b'])}d}{s}{d.year:04d}"
 
 
 def _is_date(y: int, m: int, d: int) -> bool:
@@ -208,19 +200,27 @@ def _is_date(y: int, m: int, d: int) -> bool:
         return False
 
 
-def _any_numeric_date(m: re.Match, key: bytes, back: bool) -> str | None:
-    return _numeric_date(m, key, back) or _other_numeric_date(m, key, back)
+def _ordinal(day: int) -> str:
+    return "th" if 11 <= day <= 13 else {1: "st", 2: "nd", 3: "rd"}.get(day % 10, "th")
 
 
 def _worded(m: re.Match, key: bytes, back: bool) -> str | None:
-    names = [x[: len(m["mon"])] if len(m["mon"]) == 3 else x for x in MONTHS]
-    if m["mon"] not in names:
+    """Names in full (May is one), of three letters, or Sept, which only September has; in capitals, small letters or with one capital."""
+    name, suffix = m["mon"], m["suffix"] or ""
+    style = next((f for f in (str.title, str.upper, str.lower) if f(name) == name), None)
+    month = next((i for i, x in enumerate(MONTHS, 1) if name.title() in (x, x[:3], "Sept" if x == "September" else x)), 0)
+    if not style or not month or suffix.lower() not in ("", _ordinal(int(m["wd"]))) or suffix not in (suffix.lower(), suffix.upper()):
         return None
-    d = _moved(int(m["wy"]), names.index(m["mon"]) + 1, int(m["wd"]), key, back)
+    sept, short = name.title() == "Sept", len(name) == 3 and month != 5
+    d = _moved(int(m["wy"]), month, int(m["wd"]), key, back, "date/sept" if sept else "date", only=9 if sept else 0)
+    while d and short and d.month == 5:  # May would be read as a name in full
+        d = _moved(d.year, d.month, d.day, key, back)
     if not d:
         return None
-    name = MONTHS[d.month - 1][:3] if len(m["mon"]) == 3 and m["mon"] != "May" else MONTHS[d.month - 1]
-    return f"{name}{m['g1']}{d.day}{m['g2']}{d.year}"
+    new = style("Sept" if sept else MONTHS[d.month - 1][: 3 if short else None])
+    number = f"{d.day:0{len(m['wd'])}d}" + (_ordinal(d.day).upper() if suffix.isupper() else _ordinal(d.day) if suffix else "")
+    first, second = (new, number) if m.start("mon") < m.start("wd") else (number, new)
+    return f"{first}{m['g1']}{second}{m['g2']}{d.year}"
 
 
 def _email(m: re.Match, key: bytes, back: bool) -> str | None:
@@ -253,14 +253,16 @@ class Kind:
 
 
 _B, _E = r"(?<![\w.+-])", r"(?![\w])"
+_MONTH = r"(?=[JFMASONDjfmasond])(?i:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 KINDS = (
     Kind("email", "@", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), _email),
     Kind("secret", "", re.compile(r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b)[\"']?\s*[=:]\s*[\"']?(?P<secret>[^\s\"',;]{6,})"), _secret),
     Kind("access_key", "A", re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"), _access_key),
     Kind("iban", "", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), _iban),
-    Kind("date", "", re.compile(r"(?<![\w/.-])(?P<y>(?:19|20)\d\d)(?P<s>[-/.])(?P<m>\d\d)(?P=s)(?P<d>\d\d)(?![\w/-]|\.\d)"), _iso),
-    Kind("date", "", re.compile(r"(?<![\w/.-])(?P<a>\d\d)(?P<t>[-/.])(?P<b>\d\d)(?P=t)(?P<v>(?:19|20)\d\d)(?![\w/-]|\.\d)"), _any_numeric_date),
-    Kind("date", "", re.compile(rf"\b(?P<mon>{'|'.join(MONTHS)}|{'|'.join(x[:3] for x in MONTHS)})(?P<g1>\.? )(?P<wd>[1-9]|[12]\d|3[01])(?P<g2>,? )(?P<wy>(?:19|20)\d\d)\b"), _worded),
+    Kind("date", "", re.compile(r"(?<![\w/.-])(?P<y>(?:19|20)[0-9]{2})(?P<s>[-/.])(?P<m>[0-9]{1,2})(?P=s)(?P<d>[0-9]{1,2})(?!(?![Tt][0-9]{2}(?::?[0-9]{2}|Z|\b))[\w/-]|\.\d)"), _iso),
+    Kind("date", "", re.compile(r"(?<![\w/.-])(?P<a>[0-9]{1,2})(?P<t>[-/.])(?P<b>[0-9]{1,2})(?P=t)(?P<v>(?:19|20)[0-9]{2})(?![\w/-]|\.\d)"), _any_numeric_date),
+    Kind("date", "", re.compile(rf"\b(?P<mon>{_MONTH})(?P<g1>\.?\s{{1,3}}|\.?[-/])(?P<wd>[0-9]{{1,2}})(?P<suffix>(?i:st|nd|rd|th))?(?P<g2>,?\s{{1,3}}|,|[-/])(?P<wy>(?:19|20)[0-9]{{2}})\b"), _worded),
+    Kind("date", "", re.compile(rf"\b(?P<wd>[0-9]{{1,2}})(?P<suffix>(?i:st|nd|rd|th))?(?P<g1>\.?\s{{1,3}}(?:of\s{{1,3}})?|[-/.])(?P<mon>{_MONTH})(?P<g2>\.?,?\s{{1,3}}|[-/.])(?P<wy>(?:19|20)[0-9]{{2}})\b"), _worded),
     Kind("ssn", "-", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), _ssn),
     Kind("card", "", re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?P<c>[ -])\d{4}(?P=c)\d{4}(?P=c)\d{4}(?:(?P=c)\d{1,3})?|\d{4}(?P<x>[ -])\d{6}(?P=x)\d{5})(?![\w-])"), _card),
     Kind("ip", ".", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"), _ip),
