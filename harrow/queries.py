@@ -187,9 +187,19 @@ def build_prompt(spark, sf_dir):
     return _regrouped(spark, sf_dir).select("doc_id", X.prompt("Schema {{}}: {query}\nPage:\n{content}\n", query="query", content="full_content").alias("prompt"))
 
 
-def chat_messages(spark, sf_dir):
+def _chats(spark, sf_dir) -> DataFrame:
     m = X.chat_messages(F.col("query"), F.col("chunkcontent"))
-    return _chunks(spark, sf_dir).where("pos = 0").select("doc_id", m[0]["role"].alias("role0"), m[1]["role"].alias("role1"), m[1]["content"].alias("content1"))
+    return _chunks(spark, sf_dir).select("doc_id", "pos", m[0]["role"].alias("role0"), m[1]["role"].alias("role1"), m[1]["content"].alias("content1"))
+
+
+def chat_messages(spark, sf_dir):
+    """Of each document's first chunk, as its SQL has it."""
+    return _chats(spark, sf_dir).where("pos = 0").drop("pos")
+
+
+def chat_messages_all(spark, sf_dir):
+    """Of every chunk."""
+    return _chats(spark, sf_dir)
 
 
 def truncated_ids(spark, sf_dir):
@@ -328,7 +338,7 @@ QUERIES = {
     for f in (
         token_f1_samples, token_f1_long, token_f1_summary, running_metrics, page_counts, page_site_field, page_by_site, page_by_field, page_overall, page_samples,
         match_exact, match_fuzzy, normalize_text, normalize_html_text, squad_normalize, clean_text, clean_text_dom, clean_html, direct_clean, unescape, chunk_pages,
-        explode_chunks, score_norm, threshold_filter, top_k, regroup_docs, build_prompt, chat_messages, truncated_ids, yes_no_prob, is_schema, is_url, is_not_null,
+        explode_chunks, score_norm, threshold_filter, top_k, regroup_docs, build_prompt, chat_messages, chat_messages_all, truncated_ids, yes_no_prob, is_schema, is_url, is_not_null,
         websrc_join, domain_abbreviations, swde_join, stride_subset, batch_assign, subset_order, shuffled, json_extract, closest_node, exact_extraction, postprocess,
         predictions_reader, fetch_lookup, pipeline_e2e, direct_e2e,
     )
