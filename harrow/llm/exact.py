@@ -196,11 +196,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bi
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of equal texts left, all columns as they were."""
     groups = exact_groups(docs.select(id_col, text), id_col, text)
-    gone = groups.where(~F.col("kept"))
-    out = docs.where(F.col(id_col).isNotNull()).join(gone.select(id_col).distinct(), id_col, "left_anti")
-    if docs.schema[id_col].nullable:  # rows without an id are told apart by their text
-        upper, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-        sha = F.sha2(F.translate(F.coalesce(F.col(text), F.lit("")), upper, small), 256)
-        unnamed = docs.where(F.col(id_col).isNull()).withColumn("sha__", sha)
-        out = out.union(unnamed.join(gone.where(F.col(id_col).isNull()).select(F.col("text_sha256").alias("sha__")).distinct(), "sha__", "left_anti").select(docs.columns))
-    return out.select(docs.columns)
+    gone = groups.where(~F.col("kept")).select(F.col(id_col).alias("id__"), F.col("text_sha256").alias("gone__")).distinct()
+    upper, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    # rows are told apart by id and text, as ids may repeat or be null
+    named = docs.withColumn("sha__", F.sha2(F.translate(F.coalesce(F.col(text), F.lit("")), upper, small), 256))
+    left = named.join(gone, F.col(id_col).eqNullSafe(F.col("id__")) & (F.col("sha__") == F.col("gone__")), "left_anti")
+    return left.dropDuplicates([id_col, "sha__"]).select(docs.columns)

@@ -13,7 +13,8 @@ probability (1 - (1 - 0.8**ROWS)**BANDS)**2, 0.9998 with these values.
 * Every candidate is verified on full sets; components are those of the verified links.
 
 Nulls: a null text has no shingles and is linked with nothing, like one without words; a text of fewer than
-four words is one shingle.  Null ids are linked with nothing.  Rows that repeat an id share its component.
+four words is one shingle.  Null ids are linked with nothing.  Rows that repeat an id are told apart by their
+text where there are any; rows alike in both share a component and whether they are kept.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from harrow.llm import bytesx as X
 from harrow.llm.graph import components
@@ -183,10 +185,8 @@ def _across(facts: DataFrame, percent: int, least: int, best: bool) -> DataFrame
     return dealt.mapInArrow(run, f"x {id_type}, c {id_type}")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, n_shingles, component_id, kept for every row of docs."""
-    ship(docs.sparkSession)
-    sigs = written(signatures(docs, id_col, text, k, bands, rows), "signatures")
+def _grouped(docs: DataFrame, sigs: DataFrame, id_col: str, text: str, k: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """id, n_shingles, component_id, kept for every row of sigs, the signatures of docs."""
     keyed = sigs.where("n > 0 and id is not null")
     classes = written(keyed.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")), "classes")
     reps = keyed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
@@ -217,6 +217,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
         apart = placed.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi").select("t", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
         crowded = placed.join(apart, "t")
         facts = crowded.join(reps.select("id", "n", "s", "a", "b"), "id")
+        if isinstance(facts.schema["g"].dataType, StructType):  # only compared
+            facts = facts.withColumn("g", F.xxhash64("g"))
         pairs = written(_across(facts, percent, least, best).distinct(), "across")
         pairs = written(pairs.join(tried, ["x", "c"], "left_anti"), "across")
         more = written(_verified(pairs, texts, k, percent), "links")
@@ -231,10 +233,37 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
 
     out = sigs.join(classes, ["k1", "k2", "n"], "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def _rows(docs: DataFrame, id_col: str, text: str, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, bool]:
+    """id, n_shingles, component_id, kept of every row, and whether ids repeat: then id is (id, h), h a hash of the text."""
+    ship(docs.sparkSession)
+    sigs = written(signatures(docs, id_col, text, k, bands, rows), "signatures")
+    repeats = sigs.where("n > 0 and id is not null").groupBy("id").count().where("count > 1").limit(1).count() > 0
+    if repeats:
+        named = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"))
+        docs = docs.select(F.when(F.col(id_col).isNotNull(), named).alias("id"), F.col(text).alias("text"))
+        id_col, text = "id", "text"
+        sigs = written(signatures(docs, id_col, text, k, bands, rows), "signatures")
+    return _grouped(docs, sigs, id_col, text, k, percent, bands, rows), repeats
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """id, n_shingles, component_id, kept for every row of docs."""
+    out, repeats = _rows(docs, id_col, text, k, percent, bands, rows)
+    if repeats:
+        out = out.withColumns({"id": F.col("id.id"), "component_id": F.col("component_id.id")})
+    return out.withColumnRenamed("id", id_col)
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with the least id of each near-duplicate group left, all columns as they were."""
-    groups = near_groups(docs.select(id_col, text), id_col, text, **options)
-    return docs.join(groups.where(~F.col("kept")).select(id_col).distinct(), id_col, "left_anti").select(docs.columns)
+    """docs with one row of the least id of each near-duplicate group left, all columns as they were."""
+    groups, repeats = _rows(docs.select(id_col, text), id_col, text, **options)
+    if not repeats:
+        return docs.join(groups.where(~F.col("kept")).select(F.col("id").alias(id_col)).distinct(), id_col, "left_anti").select(docs.columns)
+    facts = groups.where("id is not null and n_shingles > 0").select(F.col("id.id").alias("id__"), F.col("id.h").alias("h__"), F.col("kept").alias("kept__")).distinct()
+    # rows without an id or shingles are linked with nothing
+    found = docs.withColumn("text_h__", F.xxhash64(text)).join(facts, (F.col(id_col) == F.col("id__")) & (F.col("text_h__") == F.col("h__")), "left")
+    single = found.where("kept__").dropDuplicates(["id__", "h__"])
+    return found.where("kept__ is null").union(single).select(docs.columns)
