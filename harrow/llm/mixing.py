@@ -3,10 +3,11 @@
 Words of each source are packed into blocks of a fixed length, in the order of a hash of the row's id.  Targets
 share all words by weight and stop at three times a source's size (the excess is reshared).  A source's target
 gives its number of draws; the draws of all sources lie on one line of slots, and a pseudorandom permutation of
-that line deals them to output shards: the counts of a shard are multinomial draws on condition of the totals,
-so each source meets its target to half a block.  The i-th draw of a source takes the block that a
-pseudorandom permutation of its indices gives for i, a fresh one each time round, so no block is taken more
-than three times.  Blocks are joined to draws by (source, index).
+that line, picked by a seed, deals them to output shards: the counts of a shard are multinomial draws on condition of
+the totals (multivariate hypergeometric), so each source meets its target to half a block.  The i-th draw of a source
+takes the block that an affine permutation of its indices gives for i, a fresh one each time round, so no block is
+taken more than three times.  Blocks are joined to draws by (source, index); ``dealt`` has the mix by shard and slot,
+``mixed`` and ``taken_words`` by row, for which the deal makes no difference.
 
 Nulls: a null text has no words, a null source is a source of its own, last in order; null ids have size but,
 like repeated ids, are packed as rows of their own.  No words at all: every count is 0.
@@ -22,6 +23,9 @@ from harrow.llm.shared import written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_TIMES = 3
+SEED = 3
+#: Of the Feistel permutation that deals draws to slots: rounds, and walks at most (all but n below 4,096 end in one or two, and those in 64).
+ROUNDS, WALKS = 6, 64
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
 #: Rows (about) that are put in order together while offsets are summed.
@@ -41,6 +45,23 @@ def permuted(i: Column, n: Column, key: Column) -> Column:
     return (prime * i + F.pmod(F.xxhash64(key, F.lit(7)), n)) % n
 
 
+def shuffled(i: Column, n: Column, seed: int) -> Column:
+    """A pseudorandom permutation of 0 .. n-1 (n below 2^60) that seed picks: Feistel rounds of modular addition, walked until inside."""
+    a = F.ceil(F.sqrt(n.cast("double")))
+    b = F.ceil(n / a)
+
+    def once(x: Column) -> Column:
+        def turn(v: Column, r: Column) -> Column:
+            left, right = F.floor(v / b), v % b
+            f = F.xxhash64(F.when(r % 2 == 0, right).otherwise(left), r, n, F.lit(seed))
+            return F.when(r % 2 == 0, F.pmod(left + F.pmod(f, a), a) * b + right).otherwise(left * b + F.pmod(right + F.pmod(f, b), b))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), x, turn)
+
+    walks = F.sequence(F.lit(1), F.lit(WALKS))
+    return F.aggregate(walks, once(i), lambda x, _: F.when(x < n, x).otherwise(once(x)))
+
+
 def source_targets(sizes: DataFrame) -> DataFrame:
     """source, source_size, weight, target of the sources in sizes (source, source_size): water-filling in closed form.
 
@@ -76,7 +97,7 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["id"].eqNullSafe(b["id_"]) & a["source"].eqNullSafe(b["source_"]) & (a["h"] == b["h_"]) & (a["copy"] == b["copy_"])
 
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, parts, draws).
 
     rows: KEY, size, source_size, target, start (place of its first word among its source's words).
@@ -116,11 +137,22 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source
     chunked = chunked.repartition(F.col("source"), F.col("c"))
     drawn = chunked.select("source", "blocks", "from", "all_draws", F.explode(F.sequence(F.col("c") * run, F.least(F.col("draws"), (F.col("c") + 1) * run) - 1)).alias("i"))
     time_round = F.floor(F.col("i") / F.col("blocks"))
-    place = permuted(F.col("from") + F.col("i"), F.col("all_draws"), F.lit(3).cast("long"))
+    place = shuffled(F.col("from") + F.col("i"), F.col("all_draws"), seed)
     draws = drawn.select("source", permuted(F.col("i") % F.col("blocks"), F.col("blocks"), F.xxhash64("source", time_round)).alias("block"), time_round.alias("times"), F.floor(place / shard_slots).alias("shard"), (place % shard_slots).alias("slot"))
     return rows, parts, draws
 
 
+def shard_counts(draws: DataFrame) -> DataFrame:
+    """shard, source, n: how many draws of each source a shard has."""
+    return draws.groupBy("shard", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def dealt(parts: DataFrame, draws: DataFrame) -> DataFrame:
+    """The mix by place: parts of every draw, with its times, shard and slot."""
+    d = draws.select(F.col("source").alias("s"), F.col("block").alias("b"), "times", "shard", "slot")
+    return parts.join(d.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
+
+
 def taken_parts(parts: DataFrame, draws: DataFrame) -> DataFrame:
     """parts that the mix takes, with k, the number of times."""
     takes = draws.groupBy("source", "block").agg(F.count(F.lit(1)).alias("k")).select(F.col("source").alias("s"), F.col("block").alias("b"), "k")
