@@ -1,7 +1,8 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule's cost and selectivity are estimated on a bounded sample of texts (``SAMPLE_ROWS``); rules then run
-in the order of rejections per second, each only on the texts that the earlier ones left.  A text is kept if no
+in the order of rejections per second, each only on the texts that the earlier ones left: what a rule counts and no
+earlier one has is counted on these alone (``quality`` returns STATS and base_failed, and so has them of all).  A text is kept if no
 rule rejects it, so the order changes the time taken and never the verdict.
 
 Nulls: a null text counts as empty.  An empty text, or one of spaces only, has no words and fails the base rule.
@@ -45,11 +46,27 @@ class Texts:
             self._have[name] = getattr(self, "_" + name)()
         return self._have[name]
 
+    def has(self, name: str) -> bool:
+        return name in self._have
+
+    def own(self) -> Texts:
+        return self
+
     def take(self, rows: np.ndarray) -> Texts:
+        """The texts at rows (in order), with their words where these are known."""
         sizes = np.diff(self.offsets)[rows]
         offsets = np.concatenate(([0], np.cumsum(sizes)))
         parts = [self.data[self.offsets[i] : self.offsets[i + 1]] for i in rows]
-        return Texts(np.concatenate(parts) if parts else self.data[:0], offsets)
+        out = Texts(np.concatenate(parts) if parts else self.data[:0], offsets)
+        if self.has("words"):
+            starts, ends, row = self.get("words")
+            place = np.full(len(self), -1, np.int64)
+            place[rows] = np.arange(len(rows))
+            stay = place[row] >= 0
+            new = place[row[stay]]
+            shift = offsets[new] - self.offsets[row[stay]]
+            out._have["words"] = (starts[stay] + shift, ends[stay] + shift, new)
+        return out
 
     def _words(self):
         return X.words(self.data, self.offsets)
@@ -193,39 +210,45 @@ def order_on_sample(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text"
 def cascade(t: Texts, rules: list[Rule], alive: np.ndarray) -> np.ndarray:
     """Which of the texts alive no rule rejects; each rule sees only those that are left."""
     kept = np.flatnonzero(alive)
-    now = t if len(kept) == len(t) else t.take(kept)
+    now = t if len(kept) == len(t) else _view(t, alive)
     for rule in rules:
         if not len(kept):
             break
         out = rule.rejects(now)
         if out.any():
-            # a copy of what is left pays only where much goes; else what is computed stays in use
-            if out.mean() > 0.5:
-                now = now.take(np.flatnonzero(~out))
-                kept = kept[~out]
-            else:
-                kept, now = kept[~out], now if not out.any() else _view(now, ~out)
+            kept, now = kept[~out], _view(now, ~out)
     verdict = np.zeros(len(t), bool)
     verdict[kept] = True
     return verdict
 
 
 class _view:  # noqa: N801 - a texts-like view
-    """The texts of a piece whose flags are set; per-text counts already computed are picked, not recomputed."""
+    """The texts of a piece whose flags are set; counts that it has are picked, others computed on these texts only."""
 
     def __init__(self, of, flags: np.ndarray):
-        self.of, self.rows = of, np.flatnonzero(flags)
+        self.of, self.rows, self._own = of, np.flatnonzero(flags), None
 
     def __len__(self) -> int:
         return len(self.rows)
 
+    def has(self, name: str) -> bool:
+        return self.of.has(name) or self._own is not None and self._own.has(name)
+
     def get(self, name: str):
         if name in ("words", "prefix", "lines"):
             raise KeyError(f"{name} is not a count")
-        return self.of.get(name)[self.rows]
+        if self.of.has(name):
+            return self.of.get(name)[self.rows]
+        return self.own().get(name)
+
+    def own(self) -> Texts:
+        """A copy of these texts alone."""
+        if self._own is None:
+            self._own = self.of.own().take(self.rows)
+        return self._own
 
     def take(self, rows: np.ndarray) -> Texts:
-        return self.of.take(self.rows[rows])
+        return self.own().take(rows)
 
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
