@@ -10,6 +10,9 @@ probability (1 - (1 - 0.8**ROWS)**BANDS)**2, 0.9998 with these values.
 * In each table every id is compared with the least id of its entry (minimum by key, then a join: no list of
   members).  Entries whose members then lie in different components are compared across components, where
   sizes and sketches still allow the similarity, so no link between different texts is lost by the star.
+* In entries of over ``HOT`` members, pairs that share a shingle of at most ``RARE`` of these texts are met by that
+  shingle; all others have at most their other shingles in common, which rules out all but a few pairs however
+  large the group.  What is left of such an entry is cut into blocks.
 * Every candidate is verified on full sets; components are those of the verified links.
 
 Nulls: a null text has no shingles and is linked with nothing, like one without words; a text of fewer than
@@ -36,6 +39,8 @@ BANDS, ROWS = 9, 2
 LEAST_EQUAL = 20
 #: Members of an entry that are compared across components in one unit of work.
 BLOCK = 2_000
+#: Members from which an entry counts as hot, and texts that may have a shingle that counts as rare.
+HOT, RARE = 64, 64
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -114,47 +119,105 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return both.select("x", "c", "tx", "tc").mapInArrow(run, f"x {id_type}, c {id_type}")
 
 
-def _across(facts: DataFrame, percent: int, least: int, best: bool) -> DataFrame:
+def _rare(texts: DataFrame, k: int) -> DataFrame:
+    """g, id, m: shingles that 1 to ``RARE`` of the texts (id, text) have, with that number.
+
+    Each piece of texts sends one row for each of its shingles, without ids where it alone has more than ``RARE``,
+    so a shingle that all texts share is a row from each piece.
+    """
+    id_type = texts.schema["id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = X.texts(batch.column(1))
+            for first, _, d, o in X.pieces(data, offsets):
+                sets = shingle_sets(d, o, k)
+                row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                order = np.argsort(flat, kind="stable")
+                flat, row = flat[order], row[order]
+                begin = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.zeros(0, np.int64)
+                n = np.diff(np.append(begin, len(flat)))
+                few = n <= RARE
+                sizes = np.where(few, n, 0)
+                ids = batch.column(0).take(pa.array(first + row[np.repeat(few, n)]))
+                bound = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(flat[begin].view(np.int64)), pa.array(n), pa.ListArray.from_arrays(pa.array(bound), ids)], ["g", "n", "ids"])
+
+    sent = written(texts.select("id", "text").mapInArrow(run, f"g long, n long, ids array<{id_type.simpleString()}>"), "shingles")
+    few = sent.groupBy("g").agg(F.sum("n").alias("m")).where(F.col("m") <= RARE)
+    return sent.join(few, "g").select("g", "m", F.explode("ids").alias("id"))
+
+
+def _rare_pairs(low: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, c), x > c, in different components that share a rare shingle, where the similarity is possible.
+
+    low: g, id, m of ``_rare``; facts: id, n, core, g of its ids.  A shingle has at most ``RARE`` texts, so pairs grow
+    with the texts, not with the square of a group.
+    """
+    rows = low.where("m > 1").select(F.col("g").alias("s"), "id").join(facts, "id")
+    a, b = (rows.select("s", *(F.col(c).alias(c + end) for c in ("id", "n", "core", "g"))) for end in ("1", "2"))
+    fits = 100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")
+    both = a.join(b.hint("merge"), "s").where((F.col("id1") > F.col("id2")) & (F.col("g1") != F.col("g2")) & fits)
+    both = both.groupBy(F.col("id1").alias("x"), F.col("id2").alias("c"), "n1", "n2", "core1", "core2").agg(F.count(F.lit(1)).alias("shared"))
+    most = F.least("core1", "core2") + F.col("shared")
+    return both.where(100 * most >= percent * (F.col("n1") + F.col("n2") - most)).select("x", "c")
+
+
+def _across(small: DataFrame, hot: DataFrame | None, facts: DataFrame, percent: int, least: int, best: bool) -> DataFrame:
     """Pairs (x, c), x > c, of an entry's members in different components whose sizes and sketches allow the similarity.
 
-    best: for each member outside the largest component only the one with the most equal minhashes; else all, each
-    pair in the first table that both are in.
-    An entry of many members is cut into blocks of about ``BLOCK``; each pair of blocks is a unit of work of its
-    own, so no task holds more than two blocks.
+    small: t, id, g, i, j of entries that are compared whole.  hot: t, id, g, main, blocks of larger ones: main is the
+    entry's largest component, whose members come to one block each; the others come to every block.
+    facts: id, n, core, s, a, b.  best: for each member outside the largest component only the one with the most equal
+    minhashes; else all; of a small entry then each pair in the first table that both are in.
     """
     id_type = facts.schema["id"].dataType.simpleString()
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    units = facts.withColumn("p", mine).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("t", F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"), "p", "id", "g", "n", "s", "i", "j", "a", "b")
-    dealt = units.repartition(shuffle_partitions(facts.sparkSession), "t", "u", "v").sortWithinPartitions("t", "u", "v", "id")
+    none = F.lit(None).cast("array<long>")
+    columns = ["t", "q", "own", "main", "id", "g", "i", "j"]
+    units = small.select("t", F.lit(0).alias("q"), F.lit(True).alias("own"), F.lit(None).cast("boolean").alias("main"), "id", "g", "i", "j")
+    if hot is not None:
+        p = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        met = hot.withColumn("p", p).withColumn("main", F.col("g") == F.col("main"))
+        met = met.withColumn("q", F.explode(F.when(F.col("main"), F.array("p")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+        met = met.select("t", "q", (F.col("p") == F.col("q")).alias("own"), "main", "id", "g", F.lit(0).cast("byte").alias("i"), F.lit(0).cast("byte").alias("j"))
+        units = units.unionByName(met.select(columns))
+    keys = [F.when(F.col("main").isNull(), F.col(c)).otherwise(none).alias(c) if not best else none.alias(c) for c in ("a", "b")]
+    core = F.when(F.col("main").isNull(), F.col("n")).otherwise(F.col("core")).alias("core")  # it counts among members of hot entries only
+    units = units.join(facts, "id").select(*columns, "n", core, "s", *keys)
+    dealt = units.repartition(shuffle_partitions(facts.sparkSession), "t", "q").sortWithinPartitions("t", "q", "id")
 
     def compare(t: pa.Table):
         ids = t["id"].combine_chunks()
-        p, g, n, i_at, j_at = (t[c].to_numpy() for c in ("p", "g", "n", "i", "j"))
-        s, a, b = (t[c].combine_chunks().flatten().to_numpy().reshape(len(ids), -1) for c in ("s", "a", "b"))
-        two = len(np.unique(p)) > 1
-        names, size = np.unique(g, return_counts=True)
+        own, g, n, core, i_at, j_at = (t[c].to_numpy() for c in ("own", "g", "n", "core", "i", "j"))
+        whole = t["main"].null_count > 0
+        if whole:
+            names, size = np.unique(g, return_counts=True)
+            main = g == names[size.argmax()]
+        else:
+            main = t["main"].to_numpy()
+        if not best and whole:
+            a, b = (t[c].combine_chunks().flatten().to_numpy().reshape(len(ids), -1) for c in ("a", "b"))
+        s = t["s"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        place = np.arange(len(n))
         x, c = [], []
-        for i in np.flatnonzero(g != names[size.argmax()]).tolist() if best else range(1, len(n)):
-            end = len(n) if best else i
-            ok = (g[:end] != g[i]) & (100 * np.minimum(n[:end], n[i]) >= percent * np.maximum(n[:end], n[i]))
-            if two:
-                ok &= p[:end] != p[i]
+        for i in np.flatnonzero(~main).tolist():
+            most = np.minimum(core, core[i])
+            ok = (g != g[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (100 * most >= percent * (n + n[i] - most))
             if not best:
-                ok &= (a[:end, : i_at[i]] != a[i, : i_at[i]]).all(1) & (b[:end, : j_at[i]] != b[i, : j_at[i]]).all(1)
+                ok &= main | (place < i) if own[i] else main
+                if whole:
+                    ok &= (a[:, : i_at[i]] != a[i, : i_at[i]]).all(1) & (b[:, : j_at[i]] != b[i, : j_at[i]]).all(1)
             j = np.flatnonzero(ok)
             if not len(j):
                 continue
             equal = (s[j] == s[i]).sum(1)
             if best:
-                k = int(equal.argmax())
-                if equal[k] >= least:
-                    x.append([max(i, int(j[k]))])
-                    c.append([min(i, int(j[k]))])
-            elif (equal >= least).any():
+                j = j[[int(equal.argmax())]] if equal.max() >= least else j[:0]
+            else:
                 j = j[equal >= least]
-                x.append(np.full(len(j), i))
-                c.append(j)
+            x.append(np.maximum(i, j))
+            c.append(np.minimum(i, j))
         if x:
             return pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(x))), ids.take(pa.array(np.concatenate(c)))], ["x", "c"])
         return None
@@ -169,7 +232,7 @@ def _across(facts: DataFrame, percent: int, least: int, best: bool) -> DataFrame
             return compare(t)
 
         for batch in batches:
-            key = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
+            key = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(2)], 1)
             edge = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(key)])).tolist()
             for i, j in zip(edge[:-1], edge[1:], strict=True):
                 if j == i:
@@ -207,29 +270,57 @@ def _grouped(docs: DataFrame, sigs: DataFrame, id_col: str, text: str, k: int, p
     links = written(_verified(near, texts, k, percent), "links")
     comp = written(components(links, "x", "c"), "components")
 
-    # Entries whose members are still apart are compared across components: first each member with its likeliest
-    # other while that joins components, then all that remain possible.
-    tried, found, best = near, links, True
+    # Entries whose members are still apart are compared across components.
+    tried, found = near, links
     least = LEAST_EQUAL * (2 * bands * rows) // (2 * BANDS * ROWS)
-    crowded = written(tables.join(entries.select("t"), "t"), "crowded")
-    while True:
+
+    def apart(crowded: DataFrame) -> DataFrame:
+        """crowded with the members' components, of entries where these differ, and m, the members of the entry."""
         placed = written(crowded.join(comp.withColumnRenamed("node", "id"), "id", "left").select("t", "id", "i", "j", F.coalesce("component", "id").alias("g")), "placed")
-        apart = placed.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi").select("t", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-        crowded = placed.join(apart, "t")
-        facts = crowded.join(reps.select("id", "n", "s", "a", "b"), "id")
-        if isinstance(facts.schema["g"].dataType, StructType):  # only compared
-            facts = facts.withColumn("g", F.xxhash64("g"))
-        pairs = written(_across(facts, percent, least, best).distinct(), "across")
-        pairs = written(pairs.join(tried, ["x", "c"], "left_anti"), "across")
+        if isinstance(placed.schema["g"].dataType, StructType):  # only compared
+            placed = placed.withColumn("g", F.xxhash64("g"))
+        still = placed.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi").select("t", "m")
+        return placed.join(still, "t")
+
+    def tries(pairs: DataFrame) -> bool:
+        """Verifies pairs not tried yet; whether they join components."""
+        nonlocal tried, found, comp
+        pairs = written(pairs.distinct().join(tried, ["x", "c"], "left_anti"), "across")
         more = written(_verified(pairs, texts, k, percent), "links")
-        joined = more.limit(1).count() > 0
-        if joined:
-            found = found.union(more)
-            comp = written(components(found, "x", "c"), "components")
+        tried = tried.union(pairs)
+        if not more.limit(1).count():
+            return False
+        found = found.union(more)
+        comp = written(components(found, "x", "c"), "components")
+        return True
+
+    crowded = written(apart(tables.join(entries.select("t"), "t")), "crowded")
+    facts = reps.select("id", "n", F.col("n").alias("core"), "s", "a", "b")
+    if crowded.where(F.col("m") > HOT).limit(1).count():
+        # Shingles that few texts of the hot entries have tell which of their members can be alike: a pair that shares
+        # none of these has at most the lesser number of other shingles in common.
+        members = crowded.where(F.col("m") > HOT).select("id", "g").distinct()
+        low = written(_rare(texts.join(members, "id", "left_semi"), k), "rare")
+        core = low.groupBy("id").agg(F.count(F.lit(1)).alias("low"))
+        facts = written(reps.join(core, "id", "left").select("id", "n", (F.col("n") - F.coalesce("low", F.lit(0))).alias("core"), "s", "a", "b"), "facts")
+        joined = tries(_rare_pairs(low, members.join(facts.select("id", "n", "core"), "id"), percent))
+        # what else a member of a hot entry may be like has nearly all its shingles among the others
+        few = facts.where(100 * F.col("core") < percent * F.col("n")).select("id", F.lit(True).alias("few"))
+        crowded = crowded.join(few, "id", "left").where((F.col("m") <= HOT) | F.col("few").isNull())
+        crowded = written(apart(crowded.select("t", "id", "i", "j")), "crowded")
+    best = True
+    while True:
+        small, hot = crowded.where(F.col("m") <= HOT), None
+        if crowded.where(F.col("m") > HOT).limit(1).count():
+            hot = crowded.where(F.col("m") > HOT)
+            largest = hot.groupBy("t", "g").agg(F.count(F.lit(1)).alias("size")).groupBy("t").agg(F.max_by("g", F.struct("size", "g")).alias("main"))
+            hot = hot.join(largest, "t").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+        joined = tries(_across(small, hot, facts, percent, least, best))
         if not best:
             break
-        tried, best = tried.union(pairs), joined
-        crowded = crowded.select("t", "id", "i", "j")
+        best = joined
+        if joined:
+            crowded = written(apart(crowded.select("t", "id", "i", "j")), "crowded")
 
     out = sigs.join(classes, ["k1", "k2", "n"], "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
