@@ -1,19 +1,20 @@
 """SentencePiece (merge type) encoding by backtracking, and decoding.
 
 A text is normalised (space becomes U+2581, one is put in front) and cut where no piece of the vocabulary can
-span the cut, so that units are encoded on their own.  A unit is encoded without running the merges: a trie of
-the pieces (Aho-Corasick) proposes the longest piece at a place, a piece is accepted if re-merging it with the
-piece before gives just these two again, and a bitfield holds the places from which no rest fits, so that
-the search steps back over each of them once at most.
+span the cut, so that units are encoded on their own.  A unit is encoded without running the merges: one pass of an
+Aho-Corasick automaton of the pieces over the unit gives the longest piece at every place, a piece is accepted if
+re-merging it with the piece before gives just these two again, and a bitfield holds the places from which no rest
+fits, so that the search steps back over each of them once at most.
 
 Nulls: a null text counts as empty, which has the end id only and decodes to "".  Very long texts are cut in
-units and never repeated work; a unit without a cut costs time in proportion to its length.
+units; the time of a unit without a cut is in proportion to its length.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections.abc import Iterator
 
 import ahocorasick
@@ -21,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.shared import ship
+from harrow.llm.shared import ship, slim
 
 META = "▁"
 #: Units in a generation of a worker's store; it bounds memory and changes no result.
-STORE_UNITS, STORE_PAIRS = 450_000, 400_000
+STORE_UNITS, STORE_PAIRS = 400_000, 300_000
+#: Units that are encoded, then decoded, together.
+RUN_UNITS = 4096
 
 
 class Encoder:
@@ -58,10 +61,9 @@ class Encoder:
         for p in self.ids:
             if self.merge(p) == (p,):  # other pieces never come out of merging
                 self.trie.add_word(p, len(p))
-        longest = max(map(len, self.ids))
         #: the longest shorter piece that begins a piece, or ""
         self.prefixes = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if self.trie.exists(p[:k])), "") for p in self.trie}
-        self.longest = longest
+        self.trie.make_automaton()
         inside = "".join(map(re.escape, sorted(self.chars)))
         self.unknown, self.runs = re.compile(f"[^{inside}]"), re.compile(f"[{inside}]+|[^{inside}]+")
         single = "".join(c for c in sorted({c for p in self.ids for c in p}) if c != META)
@@ -92,35 +94,35 @@ class Encoder:
             known = self._fits[key] = self.merge(a + b) == key
         return known
 
-    def longest_at(self, s: str, i: int) -> int:
-        """Length of the longest piece of s from i on; 0 if there is none."""
-        k = self.trie.longest_prefix(s[i : i + self.longest])
-        while k and s[i : i + k] not in self.prefixes:
-            k -= 1
-        return k
+    def longest_pieces(self, s: str) -> list[int]:
+        """Length of the longest piece from each place of s on; 0 where there is none."""
+        out = [0] * len(s)
+        for last, k in self.trie.iter(s):  # of pieces that begin at one place the longest ends last
+            out[last - k + 1] = k
+        return out
 
     def known(self, s: str) -> list[str]:
         """The pieces of a run of characters of the vocabulary."""
         if s in self.prefixes:
             return [s]
         out: list[str] = []
-        n, fits, prefixes, longest_at = len(s), self._fits, self.prefixes, self.longest_at
-        possible = (1 << (n + 1)) - 1  # bit i: the rest from i on has not failed
-        pos, piece = 0, s[: longest_at(s, 0)]
+        n, fits, prefixes, longest = len(s), self._fits, self.prefixes, self.longest_pieces(s)
+        failed = bytearray((n >> 3) + 1)  # bit i: the rest from i on has failed
+        pos, piece = 0, s[: longest[0]]
         while pos < n:
             end = pos + len(piece)
-            if possible >> end & 1:
+            if not failed[end >> 3] >> (end & 7) & 1:
                 if not out:
                     fit = True
                 elif (fit := fits.get((out[-1], piece))) is None:
                     fit = self.fits(out[-1], piece)
                 if fit:
                     out.append(piece)
-                    pos, piece = end, s[end : end + longest_at(s, end)] if end < n else ""
+                    pos, piece = end, s[end : end + longest[end]] if end < n else ""
                     continue
             piece = prefixes[piece]
             while not piece:  # nothing shorter: the rest from here on fails, so the piece before has to change
-                possible &= ~(1 << pos)
+                failed[pos >> 3] |= 1 << (pos & 7)
                 if not out:
                     raise ValueError(f"no encoding of {s!r}")
                 last = out.pop()
@@ -203,30 +205,42 @@ class _Kept(dict):
         super().__init__()
         self.work, self.older = work, {}
 
-    def put(self, unit: str, value: str) -> None:
-        if len(self) >= STORE_UNITS:
-            self.older = dict(self)
-            self.clear()
-        self[unit] = value
-
     def __missing__(self, unit: str) -> str:
         value = self.older.get(unit)
         if value is None:
             value = self.work(unit)
-        self.put(unit, value)
+        if len(self) >= STORE_UNITS:
+            self.older = dict(self)
+            self.clear()
+        self[unit] = value
         return value
 
 
 class _Store:
+    """Ids by unit.  Each unit is decoded again when it is encoded; odd has those that do not decode to themselves."""
+
     def __init__(self, encoder: Encoder):
         self.encoder = encoder
+        self.odd: dict[str, str] = {}
         self.ids = _Kept(self._ids)
-        self.decoded = _Kept(lambda unit: encoder.decode(list(map(int, self.ids[unit].split())), first=False))
 
     def _ids(self, unit: str) -> str:
         ids = self.encoder.encode_unit(unit)
-        self.decoded.put(unit, self.encoder.decode_unit(ids))  # asked for next
-        return " ".join(map(str, ids))
+        decoded = self.encoder.decode_unit(ids)
+        if decoded != unit.replace(META, " "):
+            self.odd[unit] = decoded
+        return sys.intern(str(ids[0])) if len(ids) == 1 else " ".join(map(str, ids))
+
+    def decoded(self, units: list[str]) -> str:
+        """The text that the ids of units, just encoded, decode to."""
+        if not self.odd or self.odd.keys().isdisjoint(units):
+            return "".join(units).replace(META, " ")
+        text = "".join([self.odd.get(u, u.replace(META, " ")) for u in units])
+        if len(self.odd) >= STORE_UNITS:  # what was encoded before is encoded and decoded again when met again
+            self.odd.clear()
+            self.ids.clear()
+            self.ids.older = {}
+        return text
 
 
 _STORES: dict[bytes, _Store] = {}
@@ -252,14 +266,22 @@ def encode_texts(docs: DataFrame, model: bytes, id_col: str = "doc_id", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = _store(sent.value)
-        e, get_ids, get_text = store.encoder, store.ids.__getitem__, store.decoded.__getitem__
+        e, get_ids, tail = store.encoder, store.ids.__getitem__, f" {store.encoder.end}" if end else ""
+
+        def encoded(units: list[str]) -> tuple[str, str]:
+            """Ids and what they decode to; bytes of one character never lie in two units, so units decode on their own."""
+            ids, texts = [], []
+            for i in range(0, len(units), RUN_UNITS):
+                part = units[i : i + RUN_UNITS]
+                ids.append(" ".join(map(get_ids, part)))
+                texts.append(store.decoded(part))
+            return (" ".join(ids) + tail).lstrip(" "), "".join(texts)
+
         for batch in batches:
             n, sha, decoded_sha, all_ids, all_texts = [], [], [], [], []
             for value in batch.column(1):
                 units = e.units(value.as_py() or "")
-                ids = " ".join([*map(get_ids, units), str(e.end)] if end else map(get_ids, units))
-                # bytes of one character never lie in two units, so units decode on their own
-                decoded = "".join(map(get_text, units))
+                ids, decoded = encoded(units)
                 decoded = decoded[1:] if e.dummy and units else decoded
                 n.append(ids.count(" ") + 1 if ids else 0)
                 sha.append(hashlib.sha256(ids.encode()).hexdigest())
@@ -275,4 +297,4 @@ def encode_texts(docs: DataFrame, model: bytes, id_col: str = "doc_id", text: st
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"{id_col} {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep
-    return docs.select(id_col, F.col(text)).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text)).mapInArrow(slim(run), schema)
