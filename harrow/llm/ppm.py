@@ -26,13 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrow.llm import bytesx as X
-from harrow.llm.shared import ship, written
+from harrow.llm.shared import ship, slim, written
 
 ORDER = 5
 #: Most entries of each table that workers hold: 16 bytes each.
 TABLE_ROWS = 1_000_000
 #: Bytes of text scored together: some hundred bytes of arrays stand beside each.
 SCORED_BYTES = 1 << 19
+#: Counts that a map task merges before it sends them: 16 bytes each, and as many again while they are merged.
+TALLIES = 2_000_000
 BEGIN, END, SYMBOLS = 0xFE, 0xFF, 256
 
 
@@ -80,28 +82,58 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 WORD, GRAM = 0, 1
 
 
+class _Tallies:
+    """Counts of strings and words, merged until there are ``TALLIES`` of them."""
+
+    def __init__(self):
+        self.parts: list[tuple[int, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, kind: int, keys: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((kind, keys, n))
+        self.size += len(keys)
+
+    def merge(self) -> None:
+        """One part of each kind."""
+        merged = []
+        for kind in (WORD, GRAM):
+            own = [x for x in self.parts if x[0] == kind]
+            if own:
+                merged.append((kind, *_tally(np.concatenate([x[1] for x in own]), np.concatenate([x[2] for x in own]))))
+        self.parts, self.size = merged, sum(len(x[1]) for x in merged)
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        self.merge()
+        for kind, key, n in self.parts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
+        self.parts, self.size = [], 0
+
+
 def count_training(docs: DataFrame) -> DataFrame:
     """kind, key, n: words and strings of ORDER + 1 bytes of docs (rid, held, text), n over training rows (strings: 0 too)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _TABLES.clear()  # of an earlier call in this worker
+        tallies = _Tallies()
         for batch in batches:
             held = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
             data, offsets = X.texts(batch.column(2))
-            words, grams, unseen = [np.zeros(0, np.uint64)], [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], []
             for first, end, d, o in X.pieces(data, offsets):
                 d = X.lower(d)
                 h, row = word_hashes(d, o)
-                words.append(h[~held[first:end][row]])
+                tallies.add(WORD, *_tally(h[~held[first:end][row]]))
                 key, begin = strings(d, o)
                 out = np.repeat(held[first:end], np.diff(np.append(begin, len(key))))
-                grams.append(_tally(key[~out]))
-                unseen.append(_tally(key[out])[0])
-            w, wn = _tally(np.concatenate(words))
-            g, gn = _tally(np.concatenate([*(x[0] for x in grams), *unseen]), np.concatenate([*(x[1] for x in grams), *(np.zeros(len(x), np.int64) for x in unseen)]))
-            for kind, key, n in ((WORD, w, wn), (GRAM, g, gn)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
-
-    counted = docs.select("rid", "held", "text").mapInArrow(run, "kind byte, key long, n long")
+                tallies.add(GRAM, *_tally(key[~out]))
+                unseen = _tally(key[out])[0]
+                tallies.add(GRAM, unseen, np.zeros(len(unseen), np.int64))
+                if tallies.size > TALLIES:
+                    tallies.merge()
+                    if tallies.size > TALLIES // 2:
+                        yield from tallies.out()
+        yield from tallies.out()
+
+    counted = docs.select("rid", "held", "text").mapInArrow(slim(run), "kind byte, key long, n long")
     return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -263,7 +295,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held: Col
                 )
 
     schema = f"id {id_type}, rid long, held boolean, n_tokens long, known long, base double, p double, wk array<long>, wn array<int>, gk array<long>, gn array<int>"
-    scored = written(own.mapInArrow(run, schema), "scored")
+    scored = written(own.mapInArrow(slim(run), schema), "scored")
 
     def rest(keys: str, n: str, table: DataFrame, name: str) -> DataFrame:
         """rid, sum of cost * n, sum of n of what the workers' table has not."""
