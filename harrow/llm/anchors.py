@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrow.llm import bytesx as X
-from harrow.llm.shared import shuffle_partitions, written
+from harrow.llm.shared import shuffle_partitions, slim, written
 
 
 #: Bits for places beside the hash: the same everywhere, so that equal windows choose alike.
@@ -86,7 +86,7 @@ def count_anchors(docs: DataFrame, unit: str, window: int, k: int) -> DataFrame:
                 if len(begin):
                     yield pa.RecordBatch.from_arrays([pa.array(value[begin].view(np.int64)), pa.array(rid[row[begin] + first]), pa.array(n.astype(np.int8))], ["anchor", "rid", "n"])
 
-    return docs.select("rid", "text").mapInArrow(run, "anchor long, rid long, n byte")
+    return docs.select("rid", "text").mapInArrow(slim(run), "anchor long, rid long, n byte")
 
 
 def candidates(found: DataFrame, shards: int) -> DataFrame:
@@ -191,7 +191,7 @@ def repeated_spans(docs: DataFrame, unit: str, window: int, k: int, shard_bytes:
         if held and (rows := settle(False)):
             yield packed(rows, types)
 
-    first = written(own.mapInArrow(local, schema), "segments")
+    first = written(own.mapInArrow(slim(local), schema), "segments")
     sent = first.where("body is not null")
 
     def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +222,7 @@ def repeated_spans(docs: DataFrame, unit: str, window: int, k: int, shard_bytes:
             yield packed(rows, types)
 
     by_shard = sent.repartition(shuffle_partitions(spark), "shard").sortWithinPartitions("shard", "id", "rid", "begin")
-    second = by_shard.mapInArrow(owned, schema)
+    second = by_shard.mapInArrow(slim(owned), schema)
     spans = ["id", "rid", "begin", "end"]
     return written(first.where("body is null").select(spans).union(second.select(spans)), "spans")
 

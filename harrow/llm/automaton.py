@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from harrow.llm import anchors as A
 from harrow.llm import bytesx as X
-from harrow.llm.shared import ship
+from harrow.llm.shared import ship, slim
 
 WINDOW, ANCHOR = 20, 8
 #: Bytes of input for each shard, and states after which a map task begins a new automaton.
@@ -156,4 +156,4 @@ def drop_repeated_words(docs: DataFrame, id_col: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept_texts, pa.string())] if keep_text else [])], [*names, *(["kept_text"] if keep_text else [])])
 
     schema = f"id {id_type}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    return A.with_spans(own, spans).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return A.with_spans(own, spans).mapInArrow(slim(run), schema).withColumnRenamed("id", id_col)

@@ -1,7 +1,7 @@
 """Vectorised work on whole batches of texts as UTF-8 bytes: words, lines, windows and their hashes.
 
 Texts of a batch lie one after the other in one uint8 array; ``offsets`` has their bounds.  Batches are
-handled in pieces of a few megabytes so that the 64-bit arrays beside them stay small; a longer text is a
+handled in pieces of half a megabyte so that the 64-bit arrays beside them stay small; a longer text is a
 piece of its own.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 2 << 20
+PIECE = 512 << 10
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _M64 = (1 << 64) - 1

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrow.llm import bytesx as X
-from harrow.llm.shared import shared_path, ship, written
+from harrow.llm.shared import shared_path, ship, slim, written
 
 #: Distinct text bytes a bucket may hold before it is split.
 BUCKET_BYTES = 32 << 20
@@ -90,7 +90,7 @@ def text_keys(docs: DataFrame, id_col: str, text: str, bits: int) -> DataFrame:
                 ["id", "key", "n_bytes", "sha"],
             )
 
-    return docs.select(id_col, text).mapInArrow(run, f"id {id_type}, key long, n_bytes long, sha string")
+    return docs.select(id_col, text).mapInArrow(slim(run), f"id {id_type}, key long, n_bytes long, sha string")
 
 
 def _combine(directory: Directory, bits: int):
@@ -171,9 +171,9 @@ def build_index(docs: DataFrame, keys: DataFrame, id_col: str, text: str, bits:
     directory = Directory.grown(load, bucket_bytes)
     owners = -(-directory.buckets // BUCKETS_EACH)
     id_type = docs.schema[id_col].dataType.simpleString()
-    sent = docs.select(id_col, text).mapInArrow(_combine(directory, bits), f"bucket int, key long, text binary, keep_id {id_type}, n long")
+    sent = docs.select(id_col, text).mapInArrow(slim(_combine(directory, bits)), f"bucket int, key long, text binary, keep_id {id_type}, n long")
     owned = sent.repartitionById(owners, F.expr(f"cast(bucket div {BUCKETS_EACH} as int)")).sortWithinPartitions("bucket", "key")
-    index = owned.mapInArrow(_insert, f"bucket int, key long, slot int, chain int, keep_id {id_type}, n long, text binary")
+    index = owned.mapInArrow(slim(_insert), f"bucket int, key long, slot int, chain int, keep_id {id_type}, n long, text binary")
     path = shared_path(spark, "index")
     index.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(index.schema).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.shared import written
+from harrow.llm.shared import discard, written
 
 
 def _star(both: DataFrame) -> DataFrame:
@@ -23,11 +23,13 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     e = written(e, "edges")
     state = None
     while True:
+        old = e
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         e = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         linked = e.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(least.select("u", F.col("m").alias("v")).union(linked).distinct(), "edges")
+        discard(old)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")

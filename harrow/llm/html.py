@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from harrow.llm.maxflow import min_cut
-from harrow.llm.shared import ship
+from harrow.llm.shared import ship, slim
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^<]*\Z""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.I)
@@ -272,4 +272,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", o
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], [*kept, "text", "n_chars"])
 
     schema = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in kept)
-    return pages.select(*kept, html_col).mapInArrow(run, f"{schema}, text string, n_chars long")
+    return pages.select(*kept, html_col).mapInArrow(slim(run), f"{schema}, text string, n_chars long")

@@ -32,7 +32,7 @@ from pyspark.sql.types import StructType
 
 from harrow.llm import bytesx as X
 from harrow.llm.graph import components
-from harrow.llm.shared import ship, shuffle_partitions, written
+from harrow.llm.shared import discard, ship, shuffle_partitions, slim, written
 
 BANDS, ROWS = 9, 2
 #: Of 2 * BANDS * ROWS minhashes, equal ones that a later candidate needs (3.7 standard deviations below 0.8).
@@ -91,7 +91,7 @@ def signatures(docs: DataFrame, id_col: str, text: str, k: int, bands: int, rows
                 sketch = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * n_hash, pa.array((least >> np.uint64(32)).astype(np.uint32).view(np.int32).ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(n), *(pa.array(x.view(np.int64)) for x in keys), *lists, sketch], ["id", "n", "k1", "k2", "a", "b", "s"])
 
-    return docs.select(id_col, text).mapInArrow(run, f"id {id_type}, n long, k1 long, k2 long, a array<long>, b array<long>, s array<int>")
+    return docs.select(id_col, text).mapInArrow(slim(run), f"id {id_type}, n long, k1 long, k2 long, a array<long>, b array<long>, s array<int>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -116,7 +116,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                     good.append(100 * shared >= percent * (len(s) + len(last_set) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["x", "c"]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("x", "c", "tx", "tc").mapInArrow(run, f"x {id_type}, c {id_type}")
+    return both.select("x", "c", "tx", "tc").mapInArrow(slim(run), f"x {id_type}, c {id_type}")
 
 
 def _rare(texts: DataFrame, k: int) -> DataFrame:
@@ -144,7 +144,7 @@ def _rare(texts: DataFrame, k: int) -> DataFrame:
                 bound = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(flat[begin].view(np.int64)), pa.array(n), pa.ListArray.from_arrays(pa.array(bound), ids)], ["g", "n", "ids"])
 
-    sent = written(texts.select("id", "text").mapInArrow(run, f"g long, n long, ids array<{id_type.simpleString()}>"), "shingles")
+    sent = written(texts.select("id", "text").mapInArrow(slim(run), f"g long, n long, ids array<{id_type.simpleString()}>"), "shingles")
     few = sent.groupBy("g").agg(F.sum("n").alias("m")).where(F.col("m") <= RARE)
     return sent.join(few, "g").select("g", "m", F.explode("ids").alias("id"))
 
@@ -245,7 +245,7 @@ def _across(small: DataFrame, hot: DataFrame | None, facts: DataFrame, percent:
         if held and (out := settle()) is not None:
             yield out
 
-    return dealt.mapInArrow(run, f"x {id_type}, c {id_type}")
+    return dealt.mapInArrow(slim(run), f"x {id_type}, c {id_type}")
 
 
 def _grouped(docs: DataFrame, sigs: DataFrame, id_col: str, text: str, k: int, percent: int, bands: int, rows: int) -> DataFrame:
@@ -276,11 +276,13 @@ def _grouped(docs: DataFrame, sigs: DataFrame, id_col: str, text: str, k: int, p
 
     def apart(crowded: DataFrame) -> DataFrame:
         """crowded with the members' components, of entries where these differ, and m, the members of the entry."""
-        placed = written(crowded.join(comp.withColumnRenamed("node", "id"), "id", "left").select("t", "id", "i", "j", F.coalesce("component", "id").alias("g")), "placed")
-        if isinstance(placed.schema["g"].dataType, StructType):  # only compared
-            placed = placed.withColumn("g", F.xxhash64("g"))
+        g = F.coalesce("component", "id")
+        g = F.xxhash64(g) if isinstance(facts.schema["id"].dataType, StructType) else g  # only compared
+        placed = written(crowded.join(comp.withColumnRenamed("node", "id"), "id", "left").select("t", "id", "i", "j", g.alias("g")), "placed")
         still = placed.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi").select("t", "m")
-        return placed.join(still, "t")
+        out = written(placed.join(still, "t"), "crowded")
+        discard(placed)
+        return out
 
     def tries(pairs: DataFrame) -> bool:
         """Verifies pairs not tried yet; whether they join components."""
@@ -294,8 +296,9 @@ def _grouped(docs: DataFrame, sigs: DataFrame, id_col: str, text: str, k: int, p
         comp = written(components(found, "x", "c"), "components")
         return True
 
-    crowded = written(apart(tables.join(entries.select("t"), "t")), "crowded")
     facts = reps.select("id", "n", F.col("n").alias("core"), "s", "a", "b")
+    crowded = apart(tables.join(entries.select("t"), "t"))
+    discard(tables)
     if crowded.where(F.col("m") > HOT).limit(1).count():
         # Shingles that few texts of the hot entries have tell which of their members can be alike: a pair that shares
         # none of these has at most the lesser number of other shingles in common.
@@ -303,11 +306,12 @@ def _grouped(docs: DataFrame, sigs: DataFrame, id_col: str, text: str, k: int, p
         low = written(_rare(texts.join(members, "id", "left_semi"), k), "rare")
         core = low.groupBy("id").agg(F.count(F.lit(1)).alias("low"))
         facts = written(reps.join(core, "id", "left").select("id", "n", (F.col("n") - F.coalesce("low", F.lit(0))).alias("core"), "s", "a", "b"), "facts")
-        joined = tries(_rare_pairs(low, members.join(facts.select("id", "n", "core"), "id"), percent))
+        tries(_rare_pairs(low, members.join(facts.select("id", "n", "core"), "id"), percent))
         # what else a member of a hot entry may be like has nearly all its shingles among the others
         few = facts.where(100 * F.col("core") < percent * F.col("n")).select("id", F.lit(True).alias("few"))
-        crowded = crowded.join(few, "id", "left").where((F.col("m") <= HOT) | F.col("few").isNull())
-        crowded = written(apart(crowded.select("t", "id", "i", "j")), "crowded")
+        before, crowded = crowded, crowded.join(few, "id", "left").where((F.col("m") <= HOT) | F.col("few").isNull())
+        crowded = apart(crowded.select("t", "id", "i", "j"))
+        discard(before)
     best = True
     while True:
         small, hot = crowded.where(F.col("m") <= HOT), None
@@ -320,7 +324,8 @@ def _grouped(docs: DataFrame, sigs: DataFrame, id_col: str, text: str, k: int, p
             break
         best = joined
         if joined:
-            crowded = written(apart(crowded.select("t", "id", "i", "j")), "crowded")
+            before, crowded = crowded, apart(crowded.select("t", "id", "i", "j"))
+            discard(before)
 
     out = sigs.join(classes, ["k1", "k2", "n"], "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "id")

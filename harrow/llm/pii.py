@@ -24,7 +24,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from harrow.llm.shared import ship
+from harrow.llm.shared import ship, slim
 
 ROUNDS = 8
 
@@ -310,4 +310,4 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text: str
             columns = [batch.column(0), pa.array(new, pa.string()), pa.array([sum(x.values()) for x in n], pa.int64())]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x.get(k, 0) for x in n], pa.int64()) for k in NAMES)], [id_col, "text", "n_values", *(f"n_{k}" for k in NAMES)])
 
-    return docs.select(id_col, text).mapInArrow(run, f"{id_col} {id_type}, text string, n_values long, " + ", ".join(f"n_{k} long" for k in NAMES))
+    return docs.select(id_col, text).mapInArrow(slim(run), f"{id_col} {id_type}, text string, n_values long, " + ", ".join(f"n_{k} long" for k in NAMES))

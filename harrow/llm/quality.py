@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrow.llm import bytesx as X
-from harrow.llm.shared import ship
+from harrow.llm.shared import ship, slim
 
 #: Rows on which rules are timed; it sets only their order.
 SAMPLE_ROWS = 256
@@ -279,7 +279,7 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc
             )
 
     stats = ", ".join(f"{k} long" for k in STATS)
-    return docs.select(id_col, text).mapInArrow(run, f"{id_col} {id_type}, {stats}, base_failed boolean, kept boolean")
+    return docs.select(id_col, text).mapInArrow(slim(run), f"{id_col} {id_type}, {stats}, base_failed boolean, kept boolean")
 
 
 def filter_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
@@ -299,4 +299,4 @@ def filter_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str =
                 kept.append(cascade(t, ordered, np.ones(len(t), bool)))
             yield batch.filter(pa.array(np.concatenate(kept)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(slim(run), docs.schema)

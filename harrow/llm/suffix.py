@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from harrow.llm import anchors as A
 from harrow.llm import bytesx as X
-from harrow.llm.shared import ship
+from harrow.llm.shared import ship, slim
 
 LENGTH, ANCHOR = 400, 64
 #: Bytes of input for each shard, and of segments that a map task judges together.
@@ -180,4 +180,4 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept_bytes, pa.binary())] if keep_text else [])], [*names, *(["kept_bytes"] if keep_text else [])])
 
     schema = f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * keep_text
-    return A.with_spans(own, spans).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return A.with_spans(own, spans).mapInArrow(slim(run), schema).withColumnRenamed("id", id_col)
