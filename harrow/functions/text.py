@@ -40,25 +40,48 @@ def squad_tokens(c: Column | str) -> Column:
     return F.filter(F.split(squad_normalize(c), " "), lambda t: t != "")
 
 
-def overlap(gold: Column, pred: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
+def once(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def numbered(tokens: Column) -> Column:
+    """The tokens of an array, each with the number of earlier equal ones, in the order of tokens."""
+
+    def of(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+
+        def runs(at: Column) -> Column:
+            def run(v: Column, j: Column) -> Column:
+                end = F.coalesce(F.get(at, j + 1), F.size(s))
+                return F.transform(F.sequence(v, end - 1), lambda k: F.concat(F.get(s, v), F.lit(" "), (k - v).cast("string")))
+
+            return F.flatten(F.transform(at, run))
 
-    def times(a: Column, t: Column) -> Column:
-        return F.size(F.filter(a, lambda x: x == t))
+        return F.when(F.size(s) == 0, F.array().cast("array<string>")).otherwise(once(starts, runs))
 
-    return F.aggregate(F.array_distinct(gold), F.lit(0), lambda n, t: n + F.least(times(gold, t), times(pred, t)))
+    return once(F.array_sort(tokens), of)
+
+
+def overlap(gold: Column, pred: Column) -> Column:
+    """Size of the multiset intersection of two arrays of tokens without spaces; linear but for the sorts."""
+    return F.size(F.array_intersect(numbered(gold), numbered(pred)))
 
 
 def token_scores(gold: Column, pred: Column) -> Column:
     """struct(f1, precision, recall) of two token arrays; both empty: 1, one empty or nothing shared: 0."""
-    n, g, p = overlap(gold, pred).cast("double"), F.size(gold), F.size(pred)
-    both, none = (g == 0) & (p == 0), (g == 0) | (p == 0) | (n == 0)
 
-    def score(x: Column) -> Column:
-        return F.when(both, 1.0).when(none, 0.0).otherwise(x)
+    def scores(x: Column) -> Column:
+        n, g, p = x["n"].cast("double"), x["g"], x["p"]
+        both, none = (g == 0) & (p == 0), (g == 0) | (p == 0) | (n == 0)
+
+        def score(value: Column) -> Column:
+            return F.when(both, 1.0).when(none, 0.0).otherwise(value)
+
+        precision, recall = F.try_divide(n, p), F.try_divide(n, g)
+        return F.struct(score(F.try_divide(2 * precision * recall, precision + recall)).alias("f1"), score(precision).alias("precision"), score(recall).alias("recall"))
 
-    precision, recall = F.try_divide(n, p), F.try_divide(n, g)
-    return F.struct(score(F.try_divide(2 * precision * recall, precision + recall)).alias("f1"), score(precision).alias("precision"), score(recall).alias("recall"))
+    return once(F.struct(overlap(gold, pred).alias("n"), F.size(gold).alias("g"), F.size(pred).alias("p")), scores)
 
 
 def is_url(c: Column | str) -> Column:

@@ -9,24 +9,28 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from harrow.functions import text as X
+from harrow.scratch import stored
 
 #: SWDE's verticals (fixed values).
 DOMAINS = ("auto", "university", "camera", "book", "job", "nbaplayer", "movie", "restaurant")
 
 
 def indexed(df: DataFrame, *order_by: str | Column) -> DataFrame:
-    """Adds idx, 0 from on, in a stable order.
+    """Adds idx, 0 from on, in a stable order; runs df.
 
-    Places are the count of rows in earlier ranges plus the place in the own one: rows are sorted in parallel by
-    range, and only one number for each range is summed in one task.
+    Rows are sorted in parallel by range and written once with the number of their range and their place in it, so
+    that both are of one execution: range bounds are sampled, and a plan that is run again may cut them elsewhere.
+    What is summed in one task is one number for each range.
     """
     keys = [F.col(c) if isinstance(c, str) else c for c in order_by]
-    ranged = df.repartitionByRange(*keys).withColumn("range__", F.spark_partition_id())
-    inside = W.partitionBy("range__").orderBy(*keys)
-    counts = ranged.groupBy("range__").agg(F.count(F.lit(1)).alias("n__"))
-    before = counts.select(F.col("range__").alias("r__"), F.coalesce(F.sum("n__").over(W.orderBy("range__").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before__"))
-    out = ranged.withColumn("place__", F.row_number().over(inside)).join(before, F.col("range__") == F.col("r__"))
-    return out.withColumn("idx", (F.col("before__") + F.col("place__") - 1).cast("long")).drop("range__", "r__", "before__", "place__")
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = stored(ranged.select("*", F.monotonically_increasing_id().alias("place__")))  # range << 33 | place in it
+    in_range, place = F.shiftright("place__", 33), F.col("place__").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(in_range.alias("r__")).agg(F.count(F.lit(1)).alias("n__"))
+    earlier = F.sum("n__").over(W.orderBy("r__").rowsBetween(W.unboundedPreceding, -1))
+    before = counts.select("r__", F.coalesce(earlier, F.lit(0)).alias("before__"))
+    out = placed.join(F.broadcast(before), in_range == F.col("r__"), "left")  # as many rows as ranges
+    return out.withColumn("idx", (F.col("before__") + place).cast("long")).drop("r__", "place__", "before__")
 
 
 def length(df: DataFrame) -> int:

@@ -20,10 +20,21 @@ def exploded(df: DataFrame, chunks: str = "chunks") -> DataFrame:
     return df.select(*rest, F.posexplode_outer(chunks).alias("pos", "chunk")).select(*rest, "pos", "chunk.*")
 
 
+def lexical_tokens(text: Column) -> Column:
+    """Distinct normalised tokens."""
+    return F.array_distinct(F.filter(F.split(X.normalize_text(text), " "), lambda t: t != ""))
+
+
+def lexical_share(tokens: Column, content: Column) -> Column:
+    """Share of distinct tokens that the content has; no tokens: 0."""
+    # the content's tokens need not be distinct: an intersection holds each once
+    words = F.split(X.normalize_text(content), " ")
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(tokens, words)).cast("double"), F.size(tokens)), F.lit(0.0))
+
+
 def lexical_score(query: Column, content: Column) -> Column:
-    """Share of the query's distinct tokens that the content has; no tokens: 0."""
-    q, c = (F.array_distinct(F.filter(F.split(X.normalize_text(x), " "), lambda t: t != "")) for x in (query, content))
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(q, c)).cast("double"), F.size(q)), F.lit(0.0))
+    """lexical_share of a query's tokens; where many contents have one query, its tokens are better taken before."""
+    return X.once(lexical_tokens(query), lambda tokens: lexical_share(tokens, content))
 
 
 def normalised(df: DataFrame, doc: str = "doc_id", score: str = "score") -> DataFrame:

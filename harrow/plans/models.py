@@ -17,12 +17,20 @@ from harrow.operators import rerank
 
 
 class Scorer(Protocol):
-    """Relevance of a chunk for a query, as a column."""
+    """Relevance of a chunk for a query, as a column.  A scorer may also have prepare(query) and score_prepared(prepared, chunk)."""
 
     def score(self, query: Column, chunk: Column) -> Column: ...
 
 
 class LexicalScorer:
+    """Scores from what prepare() makes of a query, once for all its chunks."""
+
+    def prepare(self, query: Column) -> Column:
+        return rerank.lexical_tokens(query)
+
+    def score_prepared(self, prepared: Column, chunk: Column) -> Column:
+        return rerank.lexical_share(prepared, chunk)
+
     def score(self, query: Column, chunk: Column) -> Column:
         return rerank.lexical_score(query, chunk)
 

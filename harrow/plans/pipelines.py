@@ -44,8 +44,11 @@ class RerankerPipeline:
         carry = tuple(c for c in samples.columns if c != "doc_id")
         docs = fetched(samples, self.fetch) if self.fetch else samples
         # Python makes the chunks once, before the exchange; what follows is one shuffle by document
-        chunks = rerank.exploded(preprocessed(docs, self.config))
-        scored = rerank.scored_chunks(chunks, self.scorer.score(F.col("query"), F.col("chunkcontent")))
+        prepares = hasattr(self.scorer, "prepare")
+        whole = preprocessed(docs, self.config)
+        chunks = rerank.exploded(whole.withColumn("prepared__", self.scorer.prepare(F.col("query"))) if prepares else whole)
+        score = self.scorer.score_prepared(F.col("prepared__"), F.col("chunkcontent")) if prepares else self.scorer.score(F.col("query"), F.col("chunkcontent"))
+        scored = rerank.scored_chunks(chunks, score).drop("prepared__")
         kept = rerank.above(rerank.normalised(scored), e.rerank_threshold)
         if e.rerank_top_k:
             kept = rerank.top_k(kept, e.rerank_top_k)

@@ -47,8 +47,8 @@ def token_f1_summary(spark, sf_dir):
 
 
 def running_metrics(spark, sf_dir):
-    placed = datasets.batches(datasets.indexed(metrics.token_f1_samples(_pairs(spark, sf_dir)), "conv_id", "turn"), 64)
-    return _rounded(evaluate.running(placed), *F1)
+    placed = datasets.batches(datasets.indexed(_pairs(spark, sf_dir), "conv_id", "turn"), 64)
+    return _rounded(evaluate.running(metrics.token_f1_samples(placed)), *F1)
 
 
 def _capitals(c: str):
@@ -152,11 +152,13 @@ def _chunks(spark, sf_dir) -> DataFrame:
     """Lines of documents as chunks; the query is the first five tokens of the document."""
     d = _t(spark, sf_dir, "documents")
     query = F.array_join(F.slice(F.split(X.normalize_text("text"), " "), 1, 5), " ")
-    return rerank.exploded(d.select("doc_id", query.alias("query"), X.chunk_structs("doc_id", F.split("text", "\n")).alias("chunks")))
+    asked = d.select("doc_id", query.alias("query"), X.chunk_structs("doc_id", F.split("text", "\n")).alias("chunks"))
+    return rerank.exploded(asked.withColumn("tokens", rerank.lexical_tokens(F.col("query"))))
 
 
 def _scored(spark, sf_dir) -> DataFrame:
-    return rerank.normalised(rerank.scored_chunks(_chunks(spark, sf_dir), rerank.lexical_score(F.col("query"), F.col("chunkcontent"))))
+    chunks = _chunks(spark, sf_dir)
+    return rerank.normalised(rerank.scored_chunks(chunks, rerank.lexical_share(F.col("tokens"), F.col("chunkcontent"))).drop("tokens"))
 
 
 def explode_chunks(spark, sf_dir):
