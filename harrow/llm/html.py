@@ -1,9 +1,13 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes blocks of text (a block ends where a block-level element begins or ends).  A linear classifier
-scores each block: what it stands in, names in class, id and role, share of link text, length, punctuation.
-Scores are the terminal capacities of a graph; edges join neighbours in page order and neighbours under the
-same element.  A maximum flow separates main text from the rest.
+A page becomes blocks of text (a block ends where a block-level element begins or ends).  A linear classifier of a
+block's own text (length, punctuation, share of link text, kind of block) gives its terminal capacity.  Elements that
+say what stands in them, by what they are or by role or names in class and id, are nodes of the graph too: what they
+say is the capacity of the edge to each block in them, and their own terminal capacity is without bound, but for
+names that need not mean what they seem to (a widget, a promotion, ...): blocks of enough main text together outweigh
+these.  Further edges join neighbours in page order, neighbours under the same element, and an element's node and
+that of the element around it.  A maximum flow separates main text from the rest.  The classifier's weights are
+stated, not learnt: pages come without labels.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by one newline.
 Scripts, styles, comments, titles and the elements in MUTED give no text.  Null html counts as empty and gives an
@@ -45,20 +49,25 @@ AGAINST = frozenset(
     "sharing social related recommended recommendations more comment comments reply replies respond disqus discussion breadcrumb breadcrumbs pagination pager toolbar widget widgets "
     "copyright legal disclaimer tagcloud hidden print skip".split()
 )
+#: Of these, names that no amount of text in the element outweighs: readers' own long texts, and parts of a site.
+FIRM = frozenset("comment comments reply replies respond disqus discussion nav navbar navigation topnav subnav menu menubar cookie cookies consent gdpr breadcrumb breadcrumbs pagination pager".split())
 FOR = frozenset("article content main post entry story body text".split())
 ROLES = {"navigation": -8.0, "banner": -8.0, "contentinfo": -8.0, "complementary": -8.0, "search": -8.0, "dialog": -8.0, "alert": -8.0, "form": -8.0, "menu": -8.0, "menubar": -8.0, "main": 3.0, "article": 3.0}
 #: Names that set no side of their own inside an article's body.
 CLOSED_BY = {"p": frozenset(("p",)), "li": frozenset(("li", "p")), "dt": frozenset(("dt", "dd", "p")), "dd": frozenset(("dt", "dd", "p")), "tr": frozenset(("tr", "td", "th", "p")), "td": frozenset(("td", "th", "p")), "th": frozenset(("td", "th", "p"))}
-ADJACENT, SIBLING, SCALE = 0.8, 0.7, 1000
+ADJACENT, SIBLING, NESTED, SCALE = 0.8, 0.7, 1.0, 1000
+#: Terminal capacity of what is certain.
+CERTAIN = 10.0**6
 #: Elements around a whole page, on which names against main text tell of its parts, and words before what a name says is there or not.
 WHOLE = frozenset("html body main".split())
 STATES = frozenset("has no not with without".split())
 #: Least that names alone leave of a hint, and what each word of a block from the twentieth to the fiftieth gives back of it.
-NAMED, PROSE = -8.0, 0.2
+NAMED, FIRMLY, PROSE = -8.0, -12.0, 0.2
 
 
 def _side(tag: str, value: str, named: float) -> float:
-    """What the names in a class or id say: of names for and against main text the first one sets the side."""
+    """What the names in a class or id say: of names for and against main text the first one sets the side.  FIRMLY if
+    a firm one is among those against."""
     names = {x.lower() for x in _NAME.findall(value)}
     if not names & AGAINST or names & FOR and names & AGAINST <= {"header"}:
         return 1.5 if names & FOR else 0.0
@@ -69,12 +78,12 @@ def _side(tag: str, value: str, named: float) -> float:
         own = [x.lower() for x in _NAME.findall(token)]
         if not AGAINST.isdisjoint(own):
             if own[0] not in STATES:
-                sides.append(NAMED)
+                sides.append(FIRMLY if not FIRM.isdisjoint(own) else NAMED)
         elif not FOR.isdisjoint(own):
             sides.append(1.5)
-    if NAMED not in sides:
+    if min(sides, default=0.0) >= 0:
         return 1.5 if sides else 0.0
-    return NAMED if sides[0] == NAMED else 0.0
+    return min(sides) if sides[0] < 0 else 0.0
 
 
 def _weight(tag: str, attributes: str, inside: float, named: float) -> tuple[float, float]:
@@ -86,7 +95,11 @@ def _weight(tag: str, attributes: str, inside: float, named: float) -> tuple[flo
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or "").strip("\"'")
             if name in ("class", "id"):
-                names += _side(tag, value, named)
+                side = _side(tag, value, named)
+                if side == FIRMLY:
+                    out += side
+                else:
+                    names += side
             elif name == "role":
                 out += ROLES.get(value.lower(), 0.0)
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -94,17 +107,26 @@ def _weight(tag: str, attributes: str, inside: float, named: float) -> tuple[flo
     return out, names
 
 
+class Node:
+    """An element that says something of what stands in it, added to what those around it say: hint, firm without names."""
+
+    __slots__ = ("around", "firm", "hint")
+
+    def __init__(self, hint: float, firm: float, around: Node | None):
+        self.hint, self.firm, self.around = hint, firm, around
+
+
 class Block:
-    __slots__ = ("depth", "firm", "hint", "links", "parent", "tag", "text")
+    __slots__ = ("links", "node", "parent", "tag", "text")
 
-    def __init__(self, tag: str, hint: float, parent: int, depth: int, firm: float):
-        self.tag, self.hint, self.parent, self.depth, self.firm, self.text, self.links = tag, hint, parent, depth, firm, "", 0
+    def __init__(self, tag: str, parent: int, node: Node | None, text: str, links: int):
+        self.tag, self.parent, self.node, self.text, self.links = tag, parent, node, text, links
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    # open elements: name, weight of it and all around it, number, that weight without names
-    stack: list[tuple[str, float, int, float]] = [("#", 0.0, 0, 0.0)]
+    # open elements: name, number, the innermost node that it is in or is
+    stack: list[tuple[str, int, Node | None]] = [("#", 0, None)]
     number, pos, links = 0, 0, 0
     parts: list[str] = []
     linked = 0
@@ -134,9 +156,7 @@ def blocks(page: str) -> list[Block]:
                 k = len(stack) - 1
                 while k and stack[k][0] in INLINE:
                     k -= 1
-                b = Block(stack[k][0], stack[-1][1], stack[max(0, k - 1)][2], k, stack[-1][3])
-                b.text, b.links = text, linked
-                out.append(b)
+                out.append(Block(stack[k][0], stack[max(0, k - 1)][1], stack[-1][2], text, linked))
             parts.clear()
         linked = 0
 
@@ -211,9 +231,12 @@ def blocks(page: str) -> list[Block]:
             if tag in VOID or attributes.endswith("/") and not block:
                 continue
             number += 1
-            _, around, _, firm = stack[-1]
+            node = stack[-1][2]
+            around, firm = (node.hint, node.firm) if node else (0.0, 0.0)
             own, names = _weight(tag, attributes, around, around - firm) if attributes or tag in ELEMENT else (0.0, 0.0)
-            stack.append((tag, around + own + names, number, firm + own))
+            if own or names:
+                node = Node(around + own + names, firm + own, node)
+            stack.append((tag, number, node))
             links += tag == "a"
         elif tag not in VOID:
             k = reach(tag)
@@ -226,11 +249,13 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def words_of(b: Block) -> int:
+    return b.text.count(" ") + 1
+
+
 def score(b: Block) -> float:
-    """Classifier: above 0 for main text."""
-    words = b.text.count(" ") + 1
-    hint = max(b.hint, min(b.firm, NAMED + PROSE * min(30, max(0, words - 20))))
-    out = hint - 1.2 + 0.06 * min(words, 40) + 0.4 * min(3, sum(map(b.text.count, ".!?")))
+    """Classifier of a block's own text: above 0 for main text."""
+    out = -1.2 + 0.06 * min(words_of(b), 40) + 0.4 * min(3, sum(map(b.text.count, ".!?")))
     if b.tag in ("p", "pre", "blockquote"):
         out += 1.0
     elif b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
@@ -243,17 +268,43 @@ def score(b: Block) -> float:
     return out
 
 
-def main_blocks(page: str) -> list[str]:
-    found = blocks(page)
-    edges, last = [], {}
+def hint(b: Block) -> float:
+    """What the elements around a block say of it; names say less of a long text."""
+    return max(b.node.hint, min(b.node.firm, NAMED + PROSE * min(30, max(0, words_of(b) - 20)))) if b.node else 0.0
+
+
+def graph(found: list[Block]) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """(terminal capacities of the blocks and then of the nodes of elements, above 0 for main text; edges)."""
+    terminal = [score(b) for b in found]
+    edges: list[tuple[int, int, float]] = []
+    last: dict[int, int] = {}
+    at: dict[int, int] = {}
+
+    def place(node: Node) -> int:
+        if id(node) not in at:
+            at[id(node)] = len(terminal)
+            names_alone = node.hint < 0 <= node.firm
+            terminal.append(node.hint if names_alone else CERTAIN if node.hint >= 0 else -CERTAIN)
+        return at[id(node)]
+
     for i, b in enumerate(found):
         if i:
-            edges.append((i - 1, i, int(ADJACENT * SCALE)))
+            edges.append((i - 1, i, ADJACENT))
         if b.parent in last:
-            edges.append((last[b.parent], i, int(SIBLING * SCALE)))
+            edges.append((last[b.parent], i, SIBLING))
         last[b.parent] = i
-    side = min_cut([int(score(b) * SCALE) for b in found], edges)
-    return [b.text for b, s in zip(found, side, strict=True) if s]
+        if b.node:
+            known = id(b.node) in at
+            edges.append((i, place(b.node), abs(hint(b))))
+            if not known and b.node.around:
+                edges.append((place(b.node), place(b.node.around), NESTED))
+    return [int(x * SCALE) for x in terminal], [(i, j, int(w * SCALE)) for i, j, w in edges]
+
+
+def main_blocks(page: str) -> list[str]:
+    found = blocks(page)
+    side = min_cut(*graph(found))
+    return [b.text for b, s in zip(found, side, strict=False) if s]
 
 
 def main_text(page: str | None) -> str:
