@@ -5,8 +5,8 @@ share all words by weight and stop at three times a source's size (the excess is
 gives its number of draws; the draws of all sources lie on one line of slots, and a pseudorandom permutation of
 that line, picked by a seed, deals them to output shards: the counts of a shard are multinomial draws on condition of
 the totals (multivariate hypergeometric), so each source meets its target to half a block.  The i-th draw of a source
-takes the block that an affine permutation of its indices gives for i, a fresh one each time round, so no block is
-taken more than three times.  Blocks are joined to draws by (source, index); ``dealt`` has the mix by shard and slot,
+takes the block that a permutation of its indices of the same kind gives for i, a fresh one each time round, so no
+block is taken more than three times.  Blocks are joined to draws by (source, index); ``dealt`` has the mix by shard and slot,
 ``mixed`` and ``taken_words`` by row, for which the deal makes no difference.
 
 Nulls: a null text has no words, a null source is a source of its own, last in order; null ids have size but,
@@ -28,32 +28,27 @@ SEED = 3
 ROUNDS, WALKS = 6, 64
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
-#: Rows (about) that are put in order together while offsets are summed.
+#: Rows (about, and at least) that are put in order together while offsets are summed.
 GROUP_ROWS = 2_000
-#: Primes over any number of blocks of a source (fixed values); each is prime to every count below it.
-PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
 WORD = r"[^\x20\x09-\x0D]+"
+#: A word with the white space before it, and that of a text's first one.
+SPACED, SPACE_BEFORE = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", r"^[\x20\x09-\x0D]+"
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def permuted(i: Column, n: Column, key: Column) -> Column:
-    """A permutation of 0 .. n-1 (n below 2^31) that key picks."""
-    prime = F.element_at(F.array(*[F.lit(p) for p in PRIMES]), (F.pmod(key, F.lit(len(PRIMES))) + 1).cast("int")) % n
-    return (prime * i + F.pmod(F.xxhash64(key, F.lit(7)), n)) % n
-
-
-def shuffled(i: Column, n: Column, seed: int) -> Column:
+def shuffled(i: Column, n: Column, seed: Column | int) -> Column:
     """A pseudorandom permutation of 0 .. n-1 (n below 2^60) that seed picks: Feistel rounds of modular addition, walked until inside."""
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
     a = F.ceil(F.sqrt(n.cast("double")))
     b = F.ceil(n / a)
 
     def once(x: Column) -> Column:
         def turn(v: Column, r: Column) -> Column:
             left, right = F.floor(v / b), v % b
-            f = F.xxhash64(F.when(r % 2 == 0, right).otherwise(left), r, n, F.lit(seed))
+            f = F.xxhash64(F.when(r % 2 == 0, right).otherwise(left), r, n, seed)
             return F.when(r % 2 == 0, F.pmod(left + F.pmod(f, a), a) * b + right).otherwise(left * b + F.pmod(right + F.pmod(f, b), b))
 
         return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), x, turn)
@@ -106,7 +101,9 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source
     """
     sized = written(_sized(docs, id_col, text, source), "sized")  # texts are read once
     # rows in groups of bounded size: a group's words are summed in one task, groups by their totals
-    groups = F.pmod("spread", F.greatest(F.lit(1), F.ceil(F.col("n_rows") / GROUP_ROWS)).cast("long"))
+    # and there are no more groups than rows in one
+    each = F.greatest(F.lit(float(GROUP_ROWS)), F.sqrt(F.col("n_rows").cast("double")))
+    groups = F.pmod("spread", F.greatest(F.lit(1), F.ceil(F.col("n_rows") / each)).cast("long"))
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     targets = source_targets(per_source.select("source", "source_size"))
     facts = targets.join(per_source.select(F.col("source").alias("s"), "n_rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -138,7 +135,8 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source
     drawn = chunked.select("source", "blocks", "from", "all_draws", F.explode(F.sequence(F.col("c") * run, F.least(F.col("draws"), (F.col("c") + 1) * run) - 1)).alias("i"))
     time_round = F.floor(F.col("i") / F.col("blocks"))
     place = shuffled(F.col("from") + F.col("i"), F.col("all_draws"), seed)
-    draws = drawn.select("source", permuted(F.col("i") % F.col("blocks"), F.col("blocks"), F.xxhash64("source", time_round)).alias("block"), time_round.alias("times"), F.floor(place / shard_slots).alias("shard"), (place % shard_slots).alias("slot"))
+    key = F.xxhash64("source", time_round, F.lit(seed))
+    draws = drawn.select("source", shuffled(F.col("i") % F.col("blocks"), F.col("blocks"), key).alias("block"), time_round.alias("times"), F.floor(place / shard_slots).alias("shard"), (place % shard_slots).alias("slot"))
     return rows, parts, draws
 
 
@@ -169,23 +167,26 @@ def taken_words(rows: DataFrame, parts: DataFrame, draws: DataFrame) -> DataFram
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mix as rows with the columns of docs: for the first, second and third time that words of a row are
-    taken one row each, with the words taken that many times (the text as it was where these are all)."""
+    taken one row each, with the words taken that many times and the white space between them (the text as it was
+    where these are all)."""
     rows, parts, draws = mix_plan(docs, id_col, text, source, **options)
     taken = taken_parts(parts, draws).groupBy(*KEY).agg(F.collect_list(F.struct("first", "n", "k")).alias("taken"))  # bounded by the row
-    taken = taken.join(rows.select(*(F.col(c).alias(c + "_") for c in KEY), "size").hint("merge"), F.col("id").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("source_")) & (F.col("h") == F.col("h_")) & (F.col("copy") == F.col("copy_")))
-    taken = taken.select(*(F.col(c + "_") for c in KEY), "size", F.array_sort("taken").alias("taken"))
+    sizes = rows.select(*(F.col(c).alias(c + "_") for c in KEY), "size")
+    taken = taken.join(sizes.hint("merge"), F.col("id").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("source_")) & (F.col("h") == F.col("h_")) & (F.col("copy") == F.col("copy_")))
+    # further columns of docs may have any name but one that ends as these do
+    taken = taken.select(*(F.col(c).alias(f"key_{c}__") for c in KEY), F.col("size").alias("size__"), F.array_sort("taken").alias("taken__"))
     numbered = docs.withColumn("h__", F.xxhash64(F.col(text)))
     numbered = numbered.withColumn("copy__", F.row_number().over(W.partitionBy(id_col, source, "h__").orderBy(F.lit(1))))
-    same = F.col(id_col).eqNullSafe(F.col("id_")) & F.col(source).eqNullSafe(F.col("source_")) & (F.col("h__") == F.col("h_")) & (F.col("copy__") == F.col("copy_"))
+    same = F.col(id_col).eqNullSafe(F.col("key_id__")) & F.col(source).eqNullSafe(F.col("key_source__")) & (F.col("h__") == F.col("key_h__")) & (F.col("copy__") == F.col("key_copy__"))
     both = numbered.join(taken.hint("merge"), same)
-    most = F.aggregate("taken", F.lit(0).cast("long"), lambda m, x: F.greatest(m, x["k"]))
+    most = F.aggregate("taken__", F.lit(0).cast("long"), lambda m, x: F.greatest(m, x["k"]))
     both = both.withColumn("time__", F.explode(F.sequence(F.lit(1).cast("long"), most)))
-    left = F.filter("taken", lambda x: x["k"] >= F.col("time__"))
+    left = F.filter("taken__", lambda x: x["k"] >= F.col("time__"))
     both = both.withColumn("left__", left).withColumn("n__", F.aggregate("left__", F.lit(0).cast("long"), lambda m, x: m + x["n"]))
-    words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
-    some = F.expr("array_join(flatten(transform(left__, x -> slice(words__, cast(x.first + 1 as int), cast(x.n as int)))), ' ')")
+    words = F.regexp_extract_all(F.col(text), F.lit(SPACED), F.lit(0))
+    some = F.expr("array_join(flatten(transform(left__, x -> slice(words__, cast(x.first + 1 as int), cast(x.n as int)))), '')")
     # a text is cut into words only where some are left out
-    both = both.withColumn("words__", F.when(F.col("n__") < F.col("size"), words))
-    new = F.when(F.col("n__") == F.col("size"), F.col(text)).otherwise(some)
+    both = both.withColumn("words__", F.when(F.col("n__") < F.col("size__"), words))
+    new = F.when(F.col("n__") == F.col("size__"), F.col(text)).otherwise(F.regexp_replace(some, SPACE_BEFORE, ""))
     columns = [new.alias(c) if c == text else F.length(new).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return both.select(*columns)
