@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from harrow.llm import bytesx as X
-from harrow.llm.graph import components
+from harrow.llm.graph import components, with_edges
 from harrow.llm.shared import discard, ship, shuffle_partitions, slim, written
 
 BANDS, ROWS = 9, 2
@@ -41,6 +41,8 @@ LEAST_EQUAL = 20
 BLOCK = 2_000
 #: Members from which an entry counts as hot, and texts that may have a shingle that counts as rare.
 HOT, RARE = 64, 64
+#: Shingles of such texts (about, and with their repeats) that are counted together.
+BUCKET = 500_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -119,15 +121,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return both.select("x", "c", "tx", "tc").mapInArrow(slim(run), f"x {id_type}, c {id_type}")
 
 
-def _rare(texts: DataFrame, k: int) -> DataFrame:
-    """g, id, m: shingles that 1 to ``RARE`` of the texts (id, text) have, with that number.
+def _rare(texts: DataFrame, k: int, buckets: int) -> DataFrame:
+    """g, id, m: shingles that 2 to ``RARE`` of the texts (id, text) have, with that number; and rows of a null g, where m
+    is how many shingles (of a bucket) an id alone has.
 
-    Each piece of texts sends one row for each of its shingles, without ids where it alone has more than ``RARE``,
-    so a shingle that all texts share is a row from each piece.
+    Shingles are counted by bucket.  Each piece of texts sends one row to each bucket, in which a shingle that more than
+    ``RARE`` of the piece have stands once, without ids: what a bucket is sent of a shingle that all texts share does not
+    grow with these.
     """
-    id_type = texts.schema["id"].dataType
+    id_type = texts.schema["id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = X.texts(batch.column(1))
             for first, _, d, o in X.pieces(data, offsets):
@@ -138,15 +142,66 @@ def _rare(texts: DataFrame, k: int) -> DataFrame:
                 flat, row = flat[order], row[order]
                 begin = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.zeros(0, np.int64)
                 n = np.diff(np.append(begin, len(flat)))
+                of = (X.mix(flat[begin]) % np.uint64(buckets)).astype(np.int32)
+                by = np.argsort(of, kind="stable")
                 few = n <= RARE
-                sizes = np.where(few, n, 0)
-                ids = batch.column(0).take(pa.array(first + row[np.repeat(few, n)]))
-                bound = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(flat[begin].view(np.int64)), pa.array(n), pa.ListArray.from_arrays(pa.array(bound), ids)], ["g", "n", "ids"])
+                at = np.concatenate([np.zeros(0, np.int64), *(np.arange(begin[i], begin[i] + n[i]) for i in by[few[by]].tolist())])
+                sent, first_of = np.unique(of[by], return_index=True)
+                bound = np.append(first_of, len(by)).astype(np.int32)
+                held = np.concatenate(([0], np.cumsum(np.where(few, n, 0)[by])))[bound].astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(sent),
+                        pa.ListArray.from_arrays(bound, pa.array(flat[begin][by].view(np.int64))),
+                        pa.ListArray.from_arrays(bound, pa.array(n[by].astype(np.int32))),
+                        pa.ListArray.from_arrays(held, pa.array(row[at].astype(np.int32))),
+                        pa.ListArray.from_arrays(held, batch.column(0).take(pa.array(first + row[at]))),
+                    ],
+                    ["bucket", "g", "n", "row", "ids"],
+                )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        bucket = None
+
+        def settle() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            g, n, row, ids = (t[c].combine_chunks() for c in ("g", "n", "row", "ids"))
+            key, many = g.flatten().to_numpy(), n.flatten().to_numpy().astype(np.int64)
+            _, of = np.unique(key, return_inverse=True)
+            total = np.bincount(of, weights=many).astype(np.int64)[of]
+            few = many <= RARE
+            m = np.repeat(total[few], many[few])  # of each id sent
+            shingle = np.repeat(key[few], many[few])
+            flat_ids, piece = ids.flatten(), np.repeat(np.arange(len(t)), np.diff(ids.offsets.to_numpy()))
+            rare = np.flatnonzero((m > 1) & (m <= RARE))
+            alone = np.flatnonzero(m == 1)
+            _, one, times = np.unique(piece[alone] << 32 | row.flatten().to_numpy()[alone], return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([pa.array(shingle[rare]), pa.nulls(len(one), pa.int64())]),
+                    flat_ids.take(pa.array(np.concatenate((rare, alone[one])))),
+                    pa.array(np.concatenate((m[rare], times))),
+                ],
+                ["g", "id", "m"],
+            )
+
+        for batch in batches:
+            names = batch.column(0).to_numpy()
+            edge = np.concatenate(([0], np.flatnonzero(names[1:] != names[:-1]) + 1, [len(names)])).tolist()
+            for i, j in zip(edge[:-1], edge[1:], strict=True):
+                if j > i:
+                    if names[i] != bucket and held:
+                        yield settle()
+                    held.append(batch.slice(i, j - i))
+                    bucket = names[i]
+        if held:
+            yield settle()
 
-    sent = written(texts.select("id", "text").mapInArrow(slim(run), f"g long, n long, ids array<{id_type.simpleString()}>"), "shingles")
-    few = sent.groupBy("g").agg(F.sum("n").alias("m")).where(F.col("m") <= RARE)
-    return sent.join(few, "g").select("g", "m", F.explode("ids").alias("id"))
+    sent = texts.select("id", "text").mapInArrow(slim(send), f"bucket int, g array<long>, n array<int>, row array<int>, ids array<{id_type}>")
+    dealt = sent.repartition(shuffle_partitions(texts.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(slim(count), f"g long, id {id_type}, m long")
 
 
 def _rare_pairs(low: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
@@ -155,7 +210,7 @@ def _rare_pairs(low: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     low: g, id, m of ``_rare``; facts: id, n, core, g of its ids.  A shingle has at most ``RARE`` texts, so pairs grow
     with the texts, not with the square of a group.
     """
-    rows = low.where("m > 1").select(F.col("g").alias("s"), "id").join(facts, "id")
+    rows = low.where("g is not null").select(F.col("g").alias("s"), "id").join(facts, "id")
     a, b = (rows.select("s", *(F.col(c).alias(c + end) for c in ("id", "n", "core", "g"))) for end in ("1", "2"))
     fits = 100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")
     both = a.join(b.hint("merge"), "s").where((F.col("id1") > F.col("id2")) & (F.col("g1") != F.col("g2")) & fits)
@@ -250,50 +305,49 @@ def _across(small: DataFrame, hot: DataFrame | None, facts: DataFrame, percent:
 
 def _grouped(docs: DataFrame, sigs: DataFrame, id_col: str, text: str, k: int, percent: int, bands: int, rows: int) -> DataFrame:
     """id, n_shingles, component_id, kept for every row of sigs, the signatures of docs."""
-    keyed = sigs.where("n > 0 and id is not null")
-    classes = written(keyed.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")), "classes")
+    keyed, n_rows = sigs.where("n > 0 and id is not null"), sigs.count()
+    classes = written(keyed.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")), "classes", rows=n_rows)
     reps = keyed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    reps = written(reps.select("id", "n", "a", "b", "s"), "reps")
+    reps = written(reps.select("id", "n", "a", "b", "s"), "reps", narrow=True)
 
     half = reps.select("id", F.posexplode("a").alias("i", "a"))
     met = half.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("a")
     half = half.join(met, "a").join(reps.select("id", "b"), "id")
     keyed_tables = half.select("id", "i", "a", F.posexplode("b").alias("j", "b")).select("id", F.col("i").cast("byte").alias("i"), F.col("j").cast("byte").alias("j"), F.xxhash64("a", "b").alias("t"))
-    tables = written(keyed_tables, "tables")
+    tables = written(keyed_tables, "tables", narrow=True)
     entries = tables.groupBy("t").agg(F.min("id").alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1").select("t", "c")
     near = tables.join(entries, "t").where("id != c").select(F.col("id").alias("x"), "c").distinct()
     sizes = reps.select("id", "n")
     near = near.join(sizes.toDF("x", "nx"), "x").join(sizes.toDF("c", "nc"), "c")
-    near = written(near.where(100 * F.least("nx", "nc") >= percent * F.greatest("nx", "nc")).select("x", "c"), "pairs")
+    near = written(near.where(100 * F.least("nx", "nc") >= percent * F.greatest("nx", "nc")).select("x", "c"), "pairs", narrow=True)
     wanted = tables.join(entries, "t").select("id").distinct()  # ids that meet another in some table
     texts = written(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    links = written(_verified(near, texts, k, percent), "links")
-    comp = written(components(links, "x", "c"), "components")
+    links = written(_verified(near, texts, k, percent), "links", narrow=True)
+    comp = written(components(links, "x", "c"), "components", rows=n_rows)
 
     # Entries whose members are still apart are compared across components.
-    tried, found = near, links
+    tried = near
     least = LEAST_EQUAL * (2 * bands * rows) // (2 * BANDS * ROWS)
 
     def apart(crowded: DataFrame) -> DataFrame:
         """crowded with the members' components, of entries where these differ, and m, the members of the entry."""
         g = F.coalesce("component", "id")
         g = F.xxhash64(g) if isinstance(facts.schema["id"].dataType, StructType) else g  # only compared
-        placed = written(crowded.join(comp.withColumnRenamed("node", "id"), "id", "left").select("t", "id", "i", "j", g.alias("g")), "placed")
+        placed = written(crowded.join(comp.withColumnRenamed("node", "id"), "id", "left").select("t", "id", "i", "j", g.alias("g")), "placed", narrow=True)
         still = placed.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi").select("t", "m")
-        out = written(placed.join(still, "t"), "crowded")
+        out = written(placed.join(still, "t"), "crowded", narrow=True)
         discard(placed)
         return out
 
     def tries(pairs: DataFrame) -> bool:
         """Verifies pairs not tried yet; whether they join components."""
-        nonlocal tried, found, comp
-        pairs = written(pairs.distinct().join(tried, ["x", "c"], "left_anti"), "across")
-        more = written(_verified(pairs, texts, k, percent), "links")
+        nonlocal tried, comp
+        pairs = written(pairs.distinct().join(tried, ["x", "c"], "left_anti"), "across", narrow=True)
+        more = written(_verified(pairs, texts, k, percent), "links", rows=20 * pairs.count())  # the same tasks compare texts
         tried = tried.union(pairs)
         if not more.limit(1).count():
             return False
-        found = found.union(more)
-        comp = written(components(found, "x", "c"), "components")
+        comp = written(with_edges(comp, more, "x", "c"), "components", rows=n_rows)
         return True
 
     facts = reps.select("id", "n", F.col("n").alias("core"), "s", "a", "b")
@@ -303,9 +357,10 @@ def _grouped(docs: DataFrame, sigs: DataFrame, id_col: str, text: str, k: int, p
         # Shingles that few texts of the hot entries have tell which of their members can be alike: a pair that shares
         # none of these has at most the lesser number of other shingles in common.
         members = crowded.where(F.col("m") > HOT).select("id", "g").distinct()
-        low = written(_rare(texts.join(members, "id", "left_semi"), k), "rare")
-        core = low.groupBy("id").agg(F.count(F.lit(1)).alias("low"))
-        facts = written(reps.join(core, "id", "left").select("id", "n", (F.col("n") - F.coalesce("low", F.lit(0))).alias("core"), "s", "a", "b"), "facts")
+        shingles = reps.join(members, "id", "left_semi").agg(F.sum("n")).first()[0]
+        low = written(_rare(texts.join(members, "id", "left_semi"), k, 16 + shingles // BUCKET), "rare", narrow=True)
+        core = low.groupBy("id").agg(F.sum(F.when(F.col("g").isNull(), F.col("m")).otherwise(1)).alias("low"))
+        facts = written(reps.join(core, "id", "left").select("id", "n", (F.col("n") - F.coalesce("low", F.lit(0))).alias("core"), "s", "a", "b"), "facts", narrow=True)
         tries(_rare_pairs(low, members.join(facts.select("id", "n", "core"), "id"), percent))
         # what else a member of a hot entry may be like has nearly all its shingles among the others
         few = facts.where(100 * F.col("core") < percent * F.col("n")).select("id", F.lit(True).alias("few"))

@@ -145,7 +145,7 @@ def trie_costs(grams: DataFrame) -> DataFrame:
 
     entries = {ORDER: grams.where("n > 0").select("key", "n")}
     for k in range(ORDER - 1, -1, -1):
-        entries[k] = written(entries[k + 1].groupBy(low("key", k).alias("key")).agg(F.sum("n").alias("n")), "trie")
+        entries[k] = written(entries[k + 1].groupBy(low("key", k).alias("key")).agg(F.sum("n").alias("n")), "trie", narrow=True)
     costs = grams.select("key", F.lit(False).alias("done"), F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("qv"), F.lit(0).cast("long").alias("xv"), F.lit(0).cast("long").alias("q0"))
     for k in range(ORDER, -1, -1):
         e = entries[k]

@@ -42,9 +42,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors."""
+#: Rows of a few numbers that a task writes as one file where there are not enough for all cores.
+ROWS_EACH = 100_000
+
+
+def written(df: DataFrame, name: str, *partition_by: str, narrow: bool = False, rows: int | None = None) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    narrow: rows of a few numbers, of which a task can write many: fewer files, but four for each core.
+    rows: the same for rows at most so many, where that is known; then a file for each ``ROWS_EACH`` is enough.
+    """
     spark = df.sparkSession
+    if narrow or rows is not None:
+        most = max(4 * spark.sparkContext.defaultParallelism, shuffle_partitions(spark) // 8)
+        df = df.coalesce(most if rows is None else min(most, 1 + rows // ROWS_EACH))
     path = shared_path(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
