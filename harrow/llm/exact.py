@@ -28,12 +28,14 @@ from pyspark.sql import functions as F
 from harrow.llm import bytesx as X
 from harrow.llm.shared import shared_path, ship, slim, written
 
-#: Distinct text bytes a bucket may hold before it is split.
+#: Distinct text bytes a bucket may hold before it is split, at least.
 BUCKET_BYTES = 32 << 20
 #: Distinct text bytes a map task holds while it combines copies.
 COMBINE_BYTES = 48 << 20
-#: Buckets an owner task takes, one after the other.
-BUCKETS_EACH = 1
+#: Most buckets of an index (about); beyond, buckets grow with the input.  It bounds the directory, which the driver makes
+#: from four counts for each bucket and every task has a copy of.  An owner streams its bucket in order of keys and holds
+#: the chain of one key only, so a bucket's size is no bound on memory.
+MOST_BUCKETS = 1 << 16
 
 
 class Directory:
@@ -161,18 +163,18 @@ def build_index(docs: DataFrame, keys: DataFrame, id_col: str, text: str, bits:
     """The index: bucket, key, slot in the chain, length of the chain, keep_id, n, text (of chains over one)."""
     spark = docs.sparkSession
     total = keys.agg(F.sum("n_bytes")).first()[0] or 0
+    bucket_bytes = max(bucket_bytes, -(-total // MOST_BUCKETS))
     # two bits beyond an even spread; deeper buckets go on as overflow pages of their owner
     bits_deep = min(bits, 40, max(0, int(total // bucket_bytes).bit_length()) + 2)
     load = np.zeros(1 << bits_deep, np.int64)
     slot = F.shiftrightunsigned("key", 64 - bits_deep) if bits_deep else F.lit(0)
     distinct = keys.groupBy("key").agg(F.max("n_bytes").alias("n_bytes"))
-    for row in distinct.groupBy(slot.cast("long").alias("slot")).agg(F.sum("n_bytes").alias("b")).collect():  # as many rows as slots
+    for row in distinct.groupBy(slot.cast("long").alias("slot")).agg(F.sum("n_bytes").alias("b")).collect():  # four rows for each bucket at most
         load[row.slot] = row.b
     directory = Directory.grown(load, bucket_bytes)
-    owners = -(-directory.buckets // BUCKETS_EACH)
     id_type = docs.schema[id_col].dataType.simpleString()
     sent = docs.select(id_col, text).mapInArrow(slim(_combine(directory, bits)), f"bucket int, key long, text binary, keep_id {id_type}, n long")
-    owned = sent.repartitionById(owners, F.expr(f"cast(bucket div {BUCKETS_EACH} as int)")).sortWithinPartitions("bucket", "key")
+    owned = sent.repartitionById(directory.buckets, "bucket").sortWithinPartitions("bucket", "key")
     index = owned.mapInArrow(slim(_insert), f"bucket int, key long, slot int, chain int, keep_id {id_type}, n long, text binary")
     path = shared_path(spark, "index")
     index.write.option("compression", "zstd").parquet(path)
