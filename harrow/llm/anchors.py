@@ -135,11 +135,13 @@ class Judge:
 def repeated_spans(docs: DataFrame, unit: str, window: int, k: int, shard_bytes: int, judge: Callable[[], Judge]) -> DataFrame:
     """id, rid, begin, end: spans of symbols, each a run of windows that the judge removes.
 
-    docs: id, rid, text.  First each task judges the segments of its own documents, which removes what repeats
+    docs: id, rid, text; rows alike in all three count as one.  First each task judges the segments of its own documents, which removes what repeats
     among them and leaves one copy of each window; then shards judge the copies that are left.  So a group of
     copies of any size reaches its shard as one copy from each run of documents.
     """
     spark = docs.sparkSession
+    if docs.groupBy("rid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        docs = docs.dropDuplicates(["id", "rid"])  # combined before the shuffle, so that none is sent many times
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     id_type = docs.schema["id"].dataType.simpleString()
@@ -157,7 +159,7 @@ def repeated_spans(docs: DataFrame, unit: str, window: int, k: int, shard_bytes:
         return (pa.int32(), arrow_id, pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        j, held, size, last, types = judge(), [], 0, None, None
+        j, held, size, types = judge(), [], 0, None
 
         def settle(more: bool) -> list[tuple]:
             rows = []
@@ -173,9 +175,6 @@ def repeated_spans(docs: DataFrame, unit: str, window: int, k: int, shard_bytes:
             data, offsets = X.texts(batch.column(2))
             lists = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in (batch.column(3), batch.column(4))]
             for row in range(len(ids)):
-                if last == (ids[row], rids[row]):
-                    continue  # the same row once more
-                last = (ids[row], rids[row])
                 d = data[offsets[row] : offsets[row + 1]]
                 x = Symbols(d, np.array([0, len(d)]), unit, k)
                 anchors, of_shard = (v[o[row] : o[row + 1]] for o, v in lists)
