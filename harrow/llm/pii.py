@@ -3,7 +3,8 @@
 A value is found by a pattern, validated (checksum, calendar, ranges), and its characters are permuted within its
 format: digits stay digits, letters letters of the same case, check digits are worked out anew, dates stay
 dates.  Dates are numbers or have an English month, in any order with the year first or last; the year is one of
-1900 to 2099, ordinals end as they should, and month and day keep their number of digits.  A time after a date stays.  The permutation depends on the key, the kind and the format only, so equal values (separators and the case
+1900 to 2099, ordinals end as they should, and month and day keep their number of digits.  A time after a date stays,
+as do the domain of an e-mail address and a telephone number's country.  The permutation depends on the key, the kind and the format only, so equal values (separators and the case
 of letters aside) get equal pseudonyms in all documents, different ones different pseudonyms, and who has the key can invert it.
 
 Nulls: a null text stays null and has no values.  Texts without values come back as they are.  Where patterns

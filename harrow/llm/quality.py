@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule's cost and selectivity are estimated on a bounded sample of texts (``SAMPLE_ROWS``); rules then run
-in the order of rejections per second, each only on the texts that the earlier ones left: what a rule counts and no
+in the order of rejections per second, where shared work counts once, each only on the texts that the earlier ones left: what a rule counts and no
 earlier one has is counted on these alone (``quality`` returns STATS and base_failed, and so has them of all).  A text is kept if no
 rule rejects it, so the order changes the time taken and never the verdict.
 
@@ -11,9 +11,11 @@ Repeated rows each get their own, equal verdict.  Other columns are not read.
 
 from __future__ import annotations
 
+import random
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from harrow.llm import bytesx as X
 from harrow.llm.shared import ship, slim
 
-#: Rows on which rules are timed; it sets only their order.
-SAMPLE_ROWS = 256
+#: Rows on which rules are timed, and partitions that they come from; it sets only the rules' order.
+SAMPLE_ROWS, SAMPLE_PARTS = 256, 16
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
 REPEAT_PERCENT = 30
@@ -191,20 +193,61 @@ RULES = (
 )
 
 
-def measured_order(rules: tuple[Rule, ...], sample: Texts) -> list[str]:
-    """Names of the rules, most rejections per second first; equal ones by name."""
-    rate = {}
+class Timed(Texts):
+    """seconds: what each value took to work out, without the values that it needed."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        super().__init__(data, offsets)
+        self.seconds: dict[str, float] = {}
+        self._inner = 0.0
+
+    def get(self, name: str):
+        if name not in self._have:
+            outer, self._inner = self._inner, 0.0
+            began = time.perf_counter()
+            self._have[name] = getattr(self, "_" + name)()
+            took = time.perf_counter() - began
+            self.seconds[name], self._inner = took - self._inner, outer + took
+        return self._have[name]
+
+
+def measured_order(rules: tuple[Rule, ...], sample: Texts, have: tuple[str, ...] = ()) -> list[str]:
+    """Names of the rules in the order to run them: next comes the one that rejects most of what is left per second.
+
+    What several rules need is charged to the first of them; have: values that are worked out in any case.
+    """
+    costs, rejected = {}, {}
     for rule in rules:
-        fresh = Texts(sample.data, sample.offsets)
+        fresh = Timed(sample.data, sample.offsets)
         began = time.perf_counter()
-        rejected = int(rule.rejects(fresh).sum())
-        rate[rule.name] = rejected / max(time.perf_counter() - began, 1e-6)
-    return sorted(rate, key=lambda name: (-rate[name], name))
+        rejected[rule.name] = np.asarray(rule.rejects(fresh), bool)
+        took = time.perf_counter() - began
+        costs[rule.name] = (max(took - sum(fresh.seconds.values()), 1e-7), fresh.seconds)
+    order, done, alive = [], set(have), np.ones(len(sample), bool)
+    while len(order) < len(rules):
+
+        def rate(name: str) -> float:
+            own, shared = costs[name]
+            return int((rejected[name] & alive).sum()) / (own + sum(s for value, s in shared.items() if value not in done))
+
+        best = min((r.name for r in rules if r.name not in order), key=lambda name: (-rate(name), name))
+        order.append(best)
+        done |= costs[best][1].keys()
+        alive &= ~rejected[best]
+    return order
+
+
+def sampled_texts(docs: DataFrame, text: str) -> list[str | None]:
+    """About ``SAMPLE_ROWS`` texts, the first ones of ``SAMPLE_PARTS`` partitions picked by chance; no other is read."""
+    rows = docs.select(text).rdd
+    n = rows.getNumPartitions()
+    picked = sorted(random.Random(SAMPLE_ROWS).sample(range(n), min(n, SAMPLE_PARTS)))
+    each = -(-SAMPLE_ROWS // max(1, len(picked)))
+    return docs.sparkSession.sparkContext.runJob(rows, lambda part: [row[0] for row in islice(part, each)], picked)
 
 
-def order_on_sample(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text") -> list[str]:
-    sample = [r[0] for r in docs.select(F.col(text)).limit(SAMPLE_ROWS).collect()]
-    return measured_order(rules, Texts(*X.texts(pa.array(sample, pa.string()))))
+def order_on_sample(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", have: tuple[str, ...] = ()) -> list[str]:
+    return measured_order(rules, Texts(*X.texts(pa.array(sampled_texts(docs, text), pa.string()))), have)
 
 
 def cascade(t: Texts, rules: list[Rule], alive: np.ndarray) -> np.ndarray:
@@ -258,7 +301,7 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc
     """id, the counts in STATS, base_failed and kept for every row of docs."""
     ship(docs.sparkSession)
     by_name = {r.name: r for r in rules}
-    order = order_on_sample(docs, rules, text)
+    order = order_on_sample(docs, rules, text, (*STATS, "words", "prefix", "lines"))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

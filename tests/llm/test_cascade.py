@@ -38,3 +38,28 @@ def test_counts_of_views_and_copies_are_those_of_their_texts():
         left = [v for v, f in zip(values, flags, strict=True) if f]
         for got, want in ((view, left), (again, [v for i, v in enumerate(left) if i % 3])):
             assert all((got.get(c) == texts(want).get(c)).all() for c in COUNTS) and len(got) == len(want)
+
+
+def test_shared_work_is_charged_once(monkeypatch):
+    import time
+
+    t = texts(["word " * 30] * 20 + ["few"] * 10 + ["wow! " * 30] * 10)
+    words = quality.Texts._words
+    monkeypatch.setattr(quality.Texts, "_words", lambda self: (time.sleep(0.2), words(self))[1])
+    rules = (*quality.BASE_RULES, *(r for r in quality.RULES if r.name in ("exclamation", "stutter")))
+    fresh = quality.Timed(t.data, t.offsets)
+    quality._repetition(fresh)
+    assert fresh.seconds["words"] > 0.2 > fresh.seconds["n_repeat_words"] and fresh.seconds["n_words"] < 0.2
+    # all rest on the words; after the first of them the others cost little, and one that rejects nothing more is last
+    order = quality.measured_order(rules, t)
+    assert sorted(order) == sorted(r.name for r in rules) and order.index("exclamation") < 3
+    nothing = quality.Rule("nothing", lambda x: np.zeros(len(x), bool))
+    assert quality.measured_order((nothing, *rules), t).index("nothing") >= 2
+
+
+def test_sample_is_of_several_partitions(spark):
+    df = spark.range(1000).repartitionByRange(40, "id").selectExpr("cast(id as string) as text")
+    got = [int(x) for x in quality.sampled_texts(df, "text")]
+    assert len(got) == 256 and len({x // 25 for x in got}) >= 14
+    assert quality.sampled_texts(df.where("text = ''").coalesce(1), "text") == []
+    assert quality.filter_quality(spark.createDataFrame([], "doc_id long, text string")).collect() == []
