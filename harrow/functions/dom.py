@@ -167,12 +167,18 @@ def _prune(node: Node, drop: frozenset[str], links: bool, attrs: bool) -> None:
         filled[id(n)] = any(isinstance(c, Node) or type(c) is str and c.strip() for c in n.children)
 
 
-def clean_html(page: str | None, extra_remove_tags: tuple[str, ...] = EXTRA, strip_attrs: bool = True, strip_links: bool = True, keep_tags: bool = True) -> str:
+def clean_html(page: str | None, extra_remove_tags: tuple[str, ...] = EXTRA, strip_attrs: bool = True, strip_links: bool = True, keep_tags: bool = True, rag: bool = False) -> str:
+    """rag: of a page without tags, markup that its texts spell goes too."""
     root = parse(page)
     _prune(root, frozenset((*DROPPED, *extra_remove_tags)), strip_links, strip_attrs)
     if keep_tags:
         return re.sub(r"(?m)^[ \t]*\n", "", serialise(root)).strip()
-    return normalize_html_text(root.text("\n"))
+    text = normalize_html_text(root.text("\n"))
+    if rag:
+        again = parse(text)
+        _prune(again, frozenset(DROPPED), True, True)
+        text = normalize_html_text(again.text("\n"))
+    return text
 
 
 def chunk_html(page: str | None, max_tokens: int = 500, is_clean: bool = True, attr_cutoff_len: int = 5) -> list[str]:

@@ -114,7 +114,8 @@ def websrc_domain_key(c: Column | str) -> Column:
 
 
 def websrc_page(c: Column | str) -> Column:
-    return F.substring(col(c), 3, 7).try_cast("int")
+    """An id without a number is an error, as on the side of the pages."""
+    return F.substring(col(c), 3, 7).cast("int")
 
 
 def yes_no_probability(yes: Column | str, no: Column | str) -> Column:

@@ -30,6 +30,33 @@ def chunk_html(page: Column, max_tokens: int = 500, is_clean: bool = True, attr_
     return run(page)
 
 
+def page_chunks(page: Column, clean: dict, max_tokens: int = 500, is_clean: bool = True, attr_cutoff_len: int = 5, whole: bool = False) -> Column:
+    """struct(texts, error): the chunks of a cleaned page; a page that cannot be cleaned or cut has an error and no texts."""
+
+    def one(x: str | None) -> tuple[list[str] | None, str | None]:
+        try:
+            cleaned = dom.clean_html(x, **clean)
+            return ([cleaned] if cleaned else []) if whole else dom.chunk_html(cleaned, max_tokens, is_clean, attr_cutoff_len), None
+        except Exception as e:
+            return None, f"[ERROR {type(e).__name__}] {e}"
+
+    @F.pandas_udf("texts array<string>, error string")
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(x) for x in s], columns=["texts", "error"])
+
+    return run(page)
+
+
+def json_text(value: Column) -> Column:
+    """JSON text spelt with a space after commas and colons."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else json.dumps(json.loads(x), ensure_ascii=False))
+
+    return run(value)
+
+
 def closest_node(page: Column, search: Column) -> Column:
     @F.pandas_udf("text string, xpath string, sub_index int, score double, found boolean")
     def run(p: pd.Series, s: pd.Series) -> pd.DataFrame:

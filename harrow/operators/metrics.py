@@ -8,8 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
 from harrow.functions import text as X
 from harrow.functions import udfs
@@ -39,10 +40,18 @@ def metric(name: str) -> Metric:
 # token_f1
 
 
+def as_text(df: DataFrame, name: str) -> Column:
+    """A column as text: lists, objects and maps as JSON, other values as they are spelt."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, StringType):
+        return F.col(name)
+    return udfs.json_text(F.to_json(name, {"ignoreNullFields": "false"})) if isinstance(kind, (ArrayType, MapType, StructType)) else F.col(name).cast("string")
+
+
 def token_f1_samples(df: DataFrame, gold: str = "ground_truth", pred: str = "prediction") -> DataFrame:
     """Adds f1, precision, recall: multiset overlap of normalised tokens.  A null text has no tokens."""
     s = X.token_scores(F.col("gold__"), F.col("pred__"))
-    out = df.withColumn("gold__", X.squad_tokens(gold)).withColumn("pred__", X.squad_tokens(pred)).withColumn("s__", s)
+    out = df.withColumn("gold__", X.squad_tokens(as_text(df, gold))).withColumn("pred__", X.squad_tokens(as_text(df, pred))).withColumn("s__", s)
     return out.select(*df.columns, "s__.f1", "s__.precision", "s__.recall")
 
 
@@ -73,14 +82,14 @@ def means(df: DataFrame) -> DataFrame:
 # page_level_f1
 
 
-def field_rows(df: DataFrame, fuzzy: float | None = None, strict: bool = False) -> DataFrame:
-    """id, website, field, hit, extracted, in_gold: one row for each field of the gold object.
+def field_rows(df: DataFrame, fuzzy: float | None = None, strict: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, website, field, hit, extracted, in_gold and the columns in carry: one row for each field of the gold object.
 
     A field that the prediction lacks counts as extracted, an explicit null does not; null in both is a hit.
     strict: that is no hit.
     """
-    marks = df.select("id", X.website_of("id").alias("website"), udfs.fields(F.col("ground_truth"), F.col("prediction"), fuzzy, strict).alias("m"))
-    return marks.select("id", "website", F.explode("m").alias("m")).select("id", "website", "m.*")
+    marks = df.select("id", *carry, X.website_of("id").alias("website"), udfs.fields(F.col("ground_truth"), F.col("prediction"), fuzzy, strict).alias("m"))
+    return marks.select("id", *carry, "website", F.explode("m").alias("m")).select("id", *carry, "website", "m.*")
 
 
 def page_samples(df: DataFrame) -> DataFrame:

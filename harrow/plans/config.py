@@ -57,6 +57,9 @@ class LLMConfig:
     top_p: float = 0.7
     max_tokens: int = 8192
     threads: int = 8
+    #: Of the server of a hosted or local model: what comes before /chat/completions, and seconds that an answer may take.
+    base_url: str = ""
+    timeout: float = 120.0
 
     def __post_init__(self):
         if self.source not in ("stub", "hosted", "local"):
@@ -69,6 +72,8 @@ class PreprocessorConfig:
     strip_attrs: bool = True
     strip_links: bool = True
     keep_tags: bool = True
+    #: Pages without tags are read once more as pages, so that markup that was spelt as text goes too.
+    use_clean_rag: bool = False
     chunk_size: int = 500
     attr_cutoff_len: int = 5
     disable_chunking: bool = False

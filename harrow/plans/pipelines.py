@@ -20,12 +20,14 @@ class Pipeline(Protocol):
 
 
 def preprocessed(samples: DataFrame, config: PipelineConfig) -> DataFrame:
-    """samples and doc_id, chunks.  The key is the sample's own id, so it is the same in any batch."""
+    """samples and doc_id, chunks.  The key is the sample's own id, so it is the same in any batch; a page that cannot
+    be cut has one chunk, which says why."""
     p = config.effective().preprocessor
-    clean = udfs.clean_html(F.col("content"), extra_remove_tags=p.extra_remove_tags, strip_attrs=p.strip_attrs, strip_links=p.strip_links, keep_tags=p.keep_tags)
-    texts = udfs.chunk_html(F.col("clean__"), p.chunk_size, p.strip_attrs, p.attr_cutoff_len, p.disable_chunking)
-    out = samples.withColumn("doc_id", F.col("id")).withColumn("clean__", clean).withColumn("texts__", texts)
-    return out.withColumn("chunks", X.chunk_structs("doc_id", "texts__")).drop("clean__", "texts__")
+    clean = {"extra_remove_tags": p.extra_remove_tags, "strip_attrs": p.strip_attrs, "strip_links": p.strip_links, "keep_tags": p.keep_tags, "rag": p.use_clean_rag}
+    made = udfs.page_chunks(F.col("content"), clean, p.chunk_size, p.strip_attrs, p.attr_cutoff_len, p.disable_chunking)
+    out = samples.withColumn("doc_id", F.col("id")).withColumn("made__", made)
+    chunks = F.when(F.col("made__.error").isNotNull(), X.error_chunk("doc_id", "made__.error")).otherwise(X.chunk_structs("doc_id", "made__.texts"))
+    return out.withColumn("chunks", chunks).drop("made__")
 
 
 class RerankerPipeline:
@@ -35,7 +37,7 @@ class RerankerPipeline:
         self.config = (config or PipelineConfig()).effective()
         off = self.config.extractor.disable_reranker
         self.scorer = models.ConstantScorer() if off else scorer or models.LexicalScorer()
-        self.client, self.fetch = client or models.StubClient(), fetch
+        self.client, self.fetch = client or models.client_for(self.config.extractor.llm), fetch
 
     def transform(self, samples: DataFrame) -> DataFrame:
         from harrow.sources.readers import fetched
@@ -70,7 +72,8 @@ class DirectPipeline:
     """Without reranking: the pruned page goes into the prompt."""
 
     def __init__(self, config: PipelineConfig | None = None, client: models.Client | None = None, fetch=None):
-        self.config, self.client, self.fetch = config or PipelineConfig(name="direct"), client or models.StubClient(), fetch
+        self.config, self.fetch = config or PipelineConfig(name="direct"), fetch
+        self.client = client or models.client_for(self.config.extractor.llm)
 
     def transform(self, samples: DataFrame) -> DataFrame:
         from harrow.sources.readers import fetched

@@ -31,7 +31,10 @@ def swde_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _jsonl(spark: SparkSession, path: str, columns) -> DataFrame:
-    return spark.read.schema(columns).json(path).withColumn("place", F.monotonically_increasing_id())
+    """With place, the order of the lines: by file, then by where a part of it begins, however files are cut into parts."""
+    meta = F.col("_metadata")
+    place = F.struct(meta["file_path"], meta["file_block_start"], F.monotonically_increasing_id())
+    return spark.read.schema(columns).json(path).withColumn("place", place)
 
 
 def websrc_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -53,12 +53,20 @@ class Evaluator:
         return out
 
     def by_batches(self, predictions: DataFrame, size: int = 256, place: str = "idx"):
-        """(batch number from 1, {metric: results so far}), the last batch may be short."""
+        """(batch number from 1, {metric: results so far}), the last batch may be short.
+
+        Rows are scored once; what comes to the driver is each batch's part of the state.
+        """
         placed = datasets.batches(predictions, size, place)
-        last = placed.agg(F.max("batch_id")).first()[0]
-        for b in range(0, (last if last is not None else -1) + 1):
-            upto = placed.where(F.col("batch_id") <= b)
-            yield b + 1, {m.name: m.aggregate(m.per_sample(upto)).first().asDict() for m in self.metrics}
+        parts = []
+        for m in self.metrics:
+            if m.name == "token_f1":
+                rows = running(m.per_sample(placed)).orderBy("batch_id")
+                parts.append(({k: r[k] for k in ("f1", "precision", "recall")} for r in rows.toLocalIterator()))
+            else:
+                parts.append(_page_level(metrics.counters(metrics.field_rows(placed, carry=("batch_id",)), "batch_id"), placed))
+        for b, results in enumerate(zip(*parts, strict=True), 1):
+            yield b, {m.name: r for m, r in zip(self.metrics, results, strict=True)}
 
     def stream(self, predictions: DataFrame, state: str, checkpoint: str):
         """Starts a query that adds each micro-batch of a streaming DataFrame to the state; current() reads it."""
@@ -84,6 +92,35 @@ class Evaluator:
         return out
 
 
+    def reset(self, spark: SparkSession, state: str) -> None:
+        """Forgets all micro-batches in the state."""
+        for m in self.metrics:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{state}/{m.name}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _page_level(parts: DataFrame, placed: DataFrame):
+    """The page-level results of all batches up to each, from the counters (batch_id, website, field) of each."""
+    names = ("page_hits", "extracted_pages", "ground_truth_pages")
+    last = placed.agg(F.max("batch_id")).first()[0]
+    rows = parts.orderBy("batch_id").toLocalIterator()
+    row = next(rows, None)
+    total: dict[tuple, list[int]] = {}  # one entry for each website and field
+    for b in range(0, (last if last is not None else -1) + 1):
+        while row is not None and row.batch_id <= b:
+            have = total.setdefault((row.website, row.field), [0, 0, 0])
+            for i, n in enumerate(names):
+                have[i] += row[n]
+            row = next(rows, None)
+        sites: dict[str, list[tuple[float, float, float]]] = {}
+        for (site, _), (hits, extracted, gold) in total.items():
+            none = not extracted or not gold
+            p, r = (0.0, 0.0) if none else (hits / extracted, hits / gold)
+            sites.setdefault(site, []).append((2 * p * r / (p + r) if p + r else 0.0, p, r))
+        means = [[sum(x) / len(fields) for x in zip(*fields, strict=True)] for fields in sites.values()]
+        yield dict(zip(("f1", "precision", "recall"), (sum(x) / len(means) for x in zip(*means, strict=True)), strict=True)) if means else dict.fromkeys(("f1", "precision", "recall"), 0.0)
+
+
 def stop_on_signal(query) -> None:
     """SIGINT and SIGTERM stop a streaming query after its batch."""
     import signal
