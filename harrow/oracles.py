@@ -107,7 +107,34 @@ ab AS (SELECT domain[1:2] AS abbreviation, arg_max(domain, page_id) AS domain FR
 PLACED = "placed AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) - 1 AS idx FROM documents)"
 CLEAN = collapse(unescape(r"regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<header.*?</header>|<footer.*?</footer>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"))
 
+SAID = f"""
+{CASES},
+said AS (
+  SELECT page_id, t, h, CASE WHEN page_id % 5 <> 0 THEN l END AS lang,
+    CASE page_id % 6 WHEN 0 THEN t WHEN 1 THEN {capitals('t')} || '!' WHEN 2 THEN 'something else' WHEN 5 THEN '<NULL>' END AS title FROM cases)
+"""
+
+
+def quoted(x: str) -> str:
+    return f"coalesce(to_json({x})::VARCHAR, 'null')"
+
+
+PREDICTION = {"id": "NULL", "query": "NULL", "ground_truth": "NULL", "prediction": "NULL", "filtered_html": "NULL"}
+
+
+def predicted(where: str, **values: str) -> str:
+    return f"SELECT {', '.join(f'{v}::VARCHAR AS {c}' for c, v in (PREDICTION | values).items())} FROM events WHERE {where}"
+
+
 ORACLES = {
+    "postprocess": f"""WITH {SAID} SELECT page_id, CASE
+      WHEN page_id % 2 = 0 THEN CASE WHEN page_id % 6 = 4 THEN '' ELSE coalesce(title, '') END || h || coalesce(lang, '')
+      ELSE '{{' || CASE WHEN page_id % 6 = 4 THEN '' ELSE '"title": ' || {quoted("title")} || ', ' END || '"h1": ' || {quoted("h")} || ', "lang": ' || {quoted("lang")} || '}}' END AS prediction FROM said""",
+    "predictions_reader": " UNION ALL ".join((
+        predicted("event_id % 4 = 0", id="event_id", prediction="'x'"), predicted("event_id % 4 = 1", id="'a'"), predicted("event_id % 4 = 1"),
+    )),
+    "chat_messages_all": f"""WITH {CHUNKS} SELECT doc_id, pos::INT AS pos, 'system' AS role0, 'user' AS role1,
+      '<Instruct>: {INSTRUCTION}' || chr(10) || '<Query>: ' || array_to_string(q, ' ') || chr(10) || '<Document>: ' || chunkcontent AS content1 FROM chunks""",
     "token_f1_samples": TOKEN_F1,
     "token_f1_long": TOKEN_F1,
     "token_f1_summary": f"WITH {PAIRS} SELECT " + ", ".join(f"round(avg({c}), 9) AS {c}" for c in ("f1", "precision", "recall")) + " FROM f",
