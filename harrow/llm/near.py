@@ -232,11 +232,11 @@ def _across(small: DataFrame, hot: DataFrame | None, facts: DataFrame, percent:
     columns = ["t", "q", "own", "main", "id", "g", "i", "j"]
     units = small.select("t", F.lit(0).alias("q"), F.lit(True).alias("own"), F.lit(None).cast("boolean").alias("main"), "id", "g", "i", "j")
     if hot is not None:
-        p = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        met = hot.withColumn("p", p).withColumn("main", F.col("g") == F.col("main"))
-        met = met.withColumn("q", F.explode(F.when(F.col("main"), F.array("p")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-        met = met.select("t", "q", (F.col("p") == F.col("q")).alias("own"), "main", "id", "g", F.lit(0).cast("byte").alias("i"), F.lit(0).cast("byte").alias("j"))
-        units = units.unionByName(met.select(columns))
+        met = hot.withColumn("p", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("main", F.col("g") == F.col("main"))
+        others = met.where(~F.col("main")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        for part in (met.where("main").withColumn("q", F.col("p")), others):
+            rest = [F.lit(0).cast("byte").alias(c) for c in ("i", "j")]  # pairs of these are met in any table
+            units = units.unionByName(part.select("t", "q", (F.col("p") == F.col("q")).alias("own"), "main", "id", "g", *rest))
     keys = [F.when(F.col("main").isNull(), F.col(c)).otherwise(none).alias(c) if not best else none.alias(c) for c in ("a", "b")]
     core = F.when(F.col("main").isNull(), F.col("n")).otherwise(F.col("core")).alias("core")  # it counts among members of hot entries only
     units = units.join(facts, "id").select(*columns, "n", core, "s", *keys)

@@ -43,7 +43,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 #: Rows of a few numbers that a task writes as one file where there are not enough for all cores.
-ROWS_EACH = 100_000
+ROWS_EACH = 25_000
 
 
 def written(df: DataFrame, name: str, *partition_by: str, narrow: bool = False, rows: int | None = None) -> DataFrame:
