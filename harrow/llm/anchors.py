@@ -118,8 +118,9 @@ def segments(h: np.ndarray, window: int, k: int, anchors: np.ndarray, shards: np
 
 
 class Judge:
-    """Takes segments in order of (document, place); gives for each which of its windows are removed, and which
-    windows have no equal among the segments taken before (those stand for their equals elsewhere)."""
+    """Takes segments in order of (document, place); gives for each which of its windows are removed, which windows have
+    no equal among the segments taken before (those stand for their equals elsewhere), and, if it tells them apart,
+    which have one."""
 
     def batches(self) -> int:
         """Symbols after which what was taken may be judged and forgotten."""
@@ -133,7 +134,8 @@ class Judge:
 
 
 def repeated_spans(docs: DataFrame, unit: str, window: int, k: int, shard_bytes: int, judge: Callable[[], Judge]) -> DataFrame:
-    """id, rid, begin, end: spans of symbols, each a run of windows that the judge removes.
+    """id, rid, begin, end, early: spans of symbols, each a run of windows that the judge removes, or (early) of those
+    that have an equal earlier.
 
     docs: id, rid, text; rows alike in all three count as one.  First each task judges the segments of its own documents, which removes what repeats
     among them and leaves one copy of each window; then shards judge the copies that are left.  So a group of
@@ -155,6 +157,10 @@ def repeated_spans(docs: DataFrame, unit: str, window: int, k: int, shard_bytes:
         columns = list(zip(*rows, strict=True)) or [()] * 6
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
+    def told(i, r: int, begin: int, gone: np.ndarray, early: list[np.ndarray]) -> list[tuple]:
+        """Spans: shard is null for those that go, else -1; no body."""
+        return [(shard, i, r, begin + int(a), begin + int(b) - 1 + window, None) for shard, flags in zip((None, -1), (gone, *early), strict=False) for a, b in zip(*X.runs(flags), strict=True)]
+
     def kinds(arrow_id) -> tuple:
         return (pa.int32(), arrow_id, pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
@@ -163,8 +169,8 @@ def repeated_spans(docs: DataFrame, unit: str, window: int, k: int, shard_bytes:
 
         def settle(more: bool) -> list[tuple]:
             rows = []
-            for (shard, i, r, begin, body), (gone, first) in zip(held, j.judge([h[4] for h in held], more), strict=True):
-                rows += [(None, i, r, begin + int(a), begin + int(b) - 1 + window, None) for a, b in zip(*X.runs(gone), strict=True)]
+            for (shard, i, r, begin, body), (gone, first, *early) in zip(held, j.judge([h[4] for h in held], more), strict=True):
+                rows += told(i, r, begin, gone, early)
                 rows += [(shard, i, r, begin + int(a), begin + int(b) - 1 + window, _joined(body, int(a), int(b) - 1 + window, unit)) for a, b in zip(*X.runs(first), strict=True)]
             held.clear()
             return rows
@@ -199,8 +205,8 @@ def repeated_spans(docs: DataFrame, unit: str, window: int, k: int, shard_bytes:
 
         def settle() -> list[tuple]:
             rows = []
-            for (i, r, begin, _), (gone, _) in zip(held, j.judge([h[3] for h in held], False), strict=True):
-                rows += [(None, i, r, begin + int(a), begin + int(b) - 1 + window, None) for a, b in zip(*X.runs(gone), strict=True)]
+            for (i, r, begin, _), (gone, _, *early) in zip(held, j.judge([h[3] for h in held], False), strict=True):
+                rows += told(i, r, begin, gone, early)
             held.clear()
             return rows
 
@@ -222,7 +228,7 @@ def repeated_spans(docs: DataFrame, unit: str, window: int, k: int, shard_bytes:
 
     by_shard = sent.repartition(shuffle_partitions(spark), "shard").sortWithinPartitions("shard", "id", "rid", "begin")
     second = by_shard.mapInArrow(slim(owned), schema)
-    spans = ["id", "rid", "begin", "end"]
+    spans = ["id", "rid", "begin", "end", F.col("shard").isNotNull().alias("early")]
     return written(first.where("body is null").select(spans).union(second.select(spans)), "spans")
 
 
@@ -231,10 +237,12 @@ def _joined(body, a: int, b: int, unit: str) -> bytes:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """id, text, begins, ends (arrays, null where nothing is removed) for every row of docs."""
-    by_doc = spans.groupBy("id", "rid").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))  # bounded by the document
-    by_doc = by_doc.select(F.col("id").alias("i2"), F.col("rid").alias("r2"), "begins", "ends")
-    return docs.join(by_doc, (F.col("rid") == F.col("r2")) & F.col("id").eqNullSafe(F.col("i2")), "left").select("id", "text", "begins", "ends")
+    """id, text, begins, ends (arrays, null where nothing is removed), early_begins, early_ends for every row of docs."""
+    lists = [F.collect_list(F.when(F.col("early") == early, F.col(c))).alias(("early_" if early else "") + c + "s") for early in (False, True) for c in ("begin", "end")]
+    by_doc = spans.groupBy("id", "rid").agg(*lists)  # bounded by the document
+    by_doc = by_doc.withColumnsRenamed({"id": "i2", "rid": "r2"})
+    both = docs.join(by_doc, (F.col("rid") == F.col("r2")) & F.col("id").eqNullSafe(F.col("i2")), "left")
+    return both.select("id", "text", "begins", "ends", "early_begins", "early_ends")
 
 
 def identified(docs: DataFrame, id_col: str, text: str) -> DataFrame:

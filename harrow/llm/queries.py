@@ -27,7 +27,7 @@ def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.drop_repeated_bytes(table(spark, sf_dir, "documents"), keep="none")
+    return suffix.drop_repeated_bytes(table(spark, sf_dir, "documents"), keep="none", earlier=True)
 
 
 def op5_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

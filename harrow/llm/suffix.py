@@ -130,8 +130,8 @@ def previous_factors(data: np.ndarray, left: np.ndarray, length: int, floor: int
 
 
 class Factors(A.Judge):
-    def __init__(self, length: int, keep: str, local_bytes: int = LOCAL_BYTES):
-        self.length, self.keep, self.local = length, keep, local_bytes
+    def __init__(self, length: int, keep: str, earlier: bool = False, local_bytes: int = LOCAL_BYTES):
+        self.length, self.keep, self.earlier, self.local = length, keep, earlier, local_bytes
 
     def batches(self) -> int:
         return self.local
@@ -148,25 +148,31 @@ class Factors(A.Judge):
         first = earlier < self.length
         gone = ~first if self.keep == "first" else ~first | (later >= self.length)
         cut = np.searchsorted(places, end)[:-1]
-        return list(zip(np.split(gone, cut), np.split(first, cut), strict=True))
+        flags = (gone, first, ~first) if self.earlier else (gone, first)
+        return list(zip(*(np.split(x, cut) for x in flags), strict=True))
 
 
-def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, keep: str = "first", keep_text: bool = False) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 (with keep_text also kept_bytes) for every row of docs."""
+def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, keep: str = "first", keep_text: bool = False, earlier: bool = False) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept_sha256 (with earlier also n_earlier, with keep_text kept_bytes) for every row of docs.
+
+    n_earlier: bytes covered by a string of the threshold's length that also starts earlier (in a row of a smaller id,
+    or earlier in the same one), which is what keep="first" removes.
+    """
     if keep not in ("first", "none"):
         raise ValueError("keep is first or none")
     ship(docs.sparkSession)
     own = A.identified(docs, id_col, text)
-    spans = A.repeated_spans(own, "byte", length, min(ANCHOR, length), SHARD_BYTES, lambda: Factors(length, keep))
+    spans = A.repeated_spans(own, "byte", length, min(ANCHOR, length), SHARD_BYTES, lambda: Factors(length, keep, earlier))
     id_type = own.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = X.texts(batch.column(1))
-            removed, n_spans, sha, kept_bytes = [], [], [], []
-            for i, (begins, ends) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            removed, n_spans, sha, kept_bytes, n_earlier = [], [], [], [], []
+            for i, (begins, ends, early_begins, early_ends) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True)):
                 d = data[offsets[i] : offsets[i + 1]]
                 runs = 0
+                n_earlier.append(int(X.covered(len(d), np.array(early_begins), np.array(early_ends) - np.array(early_begins)).sum()) if early_begins else 0)
                 if begins:
                     gone = X.covered(len(d), np.array(begins), np.array(ends) - np.array(begins))
                     runs, d = len(X.runs(gone)[0]), d[~gone]
@@ -177,7 +183,9 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "te
                 kept_bytes.append(kept if keep_text else None)
             columns = [batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())]
             names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept_bytes, pa.binary())] if keep_text else [])], [*names, *(["kept_bytes"] if keep_text else [])])
+            more = {"n_earlier": pa.array(n_earlier, pa.int64())} if earlier else {}
+            more |= {"kept_bytes": pa.array(kept_bytes, pa.binary())} if keep_text else {}
+            yield pa.RecordBatch.from_arrays([*columns, *more.values()], [*names, *more])
 
-    schema = f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * keep_text
+    schema = f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", n_earlier long" * earlier + ", kept_bytes binary" * keep_text
     return A.with_spans(own, spans).mapInArrow(slim(run), schema).withColumnRenamed("id", id_col)

@@ -31,3 +31,18 @@ def test_odd_units_when_the_store_is_full(spark, monkeypatch):
         ids = list(map(int, " ".join(map(store.ids.__getitem__, units)).split()))
         assert ids == ref.encode(text)
         assert store.decoded(units)[1:] == ref.decode(ids)
+
+
+def test_earlier_bytes_are_those_that_keep_first_removes(spark):
+    import random
+
+    from harrow.llm import suffix
+
+    rng = random.Random(3)
+    shared = ["".join(rng.choice("ab c") for _ in range(60)) for _ in range(3)]
+    texts = ["".join(rng.choice([*shared, "xyz" * 7, "q", "pqr"]) for _ in range(6)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    none = {r.doc_id: r for r in suffix.drop_repeated_bytes(df, length=30, keep="none", earlier=True).collect()}
+    first = {r.doc_id: r for r in suffix.drop_repeated_bytes(df, length=30, keep="first", earlier=True).collect()}
+    assert {i: r.n_earlier for i, r in none.items()} == {i: r.n_removed for i, r in first.items()} == {i: r.n_earlier for i, r in first.items()}
+    assert any(r.n_removed > r.n_earlier for r in none.values())
