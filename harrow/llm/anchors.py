@@ -122,6 +122,9 @@ class Judge:
     no equal among the segments taken before (those stand for their equals elsewhere), and, if it tells them apart,
     which have one."""
 
+    #: Whether the first of equal windows is not removed, and whether earlier ones are told apart.
+    keeps_first, earlier = True, False
+
     def batches(self) -> int:
         """Symbols after which what was taken may be judged and forgotten."""
         raise NotImplementedError
@@ -133,13 +136,62 @@ class Judge:
         raise NotImplementedError
 
 
+def window_keys(body: bytes, unit: str, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each window of a segment."""
+    data = np.frombuffer(body, np.uint8)
+    out = []
+    for d in (data, _OTHER[data]):
+        s = X.prefix(d)
+        if unit == "byte":
+            n = max(0, len(data) - window + 1)
+            out.append(X.mix((s[window : window + n] - s[:n]) * X.powers(len(s))[1][:n]))
+        else:
+            starts, ends, _ = X.words(data, np.array([0, len(data)]))
+            out.append(X.window_hash(X.span_hash(s, starts, ends), window))
+    return out[0], out[1]
+
+
+#: Bytes that a word counts for.
+WORD_BYTES = 8
+#: A permutation of bytes, for a second hash.
+_OTHER = (np.arange(256) * 167 + 13).astype(np.uint8)
+
+
+def spans_by_window(sent: DataFrame, unit: str, window: int, judge: Judge) -> DataFrame:
+    """id, rid, begin, end, early as in repeated_spans for the segments sent, by the key of each window.
+
+    For shards that are too large for one task: what is held together is a window's equals, of which each map task
+    has sent one.
+    """
+    id_type = sent.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begins = batch.column(2).to_pylist()
+            for i, body in enumerate(batch.column(3).to_pylist()):
+                h1, h2 = window_keys(body, unit, window)
+                at = pa.array(np.zeros(len(h1), np.int64))
+                alike = [batch.column(c).slice(i, 1).take(at) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*alike, pa.array(np.arange(begins[i], begins[i] + len(h1))), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["id", "rid", "begin", "h1", "h2"])
+
+    rows = sent.select("id", "rid", "begin", "body").mapInArrow(slim(run), f"id {id_type}, rid long, begin long, h1 long, h2 long")
+    place = F.struct("id", "rid", "begin")
+    groups = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
+    told = rows.join(groups, ["h1", "h2"]).withColumn("early", ~place.eqNullSafe(F.col("first")))
+    spans = ["id", "rid", "begin", (F.col("begin") + window).alias("end")]
+    gone = told.where("early") if judge.keeps_first else told
+    out = gone.select(*spans, F.lit(False).alias("early"))
+    return out.union(told.where("early").select(*spans, "early")) if judge.earlier else out
+
+
 def repeated_spans(docs: DataFrame, unit: str, window: int, k: int, shard_bytes: int, judge: Callable[[], Judge]) -> DataFrame:
     """id, rid, begin, end, early: spans of symbols, each a run of windows that the judge removes, or (early) of those
     that have an equal earlier.
 
     docs: id, rid, text; rows alike in all three count as one.  First each task judges the segments of its own documents, which removes what repeats
     among them and leaves one copy of each window; then shards judge the copies that are left.  So a group of
-    copies of any size reaches its shard as one copy from each run of documents.
+    copies of any size reaches its shard as one copy from each run of documents.  A shard of over twice
+    shard_bytes is held by no task: its windows are compared by their keys.
     """
     spark = docs.sparkSession
     if docs.groupBy("rid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
@@ -226,10 +278,18 @@ def repeated_spans(docs: DataFrame, unit: str, window: int, k: int, shard_bytes:
         if held and (rows := settle()):
             yield packed(rows, types)
 
+    limit = 2 * shard_bytes // (1 if unit == "byte" else WORD_BYTES)
+    large = sent.groupBy("shard").agg(F.sum(F.col("end") - F.col("begin")).alias("n")).where(F.col("n") > limit).select("shard")
+    apart = None
+    if large.limit(1).count():
+        large = written(large, "large", rows=0)
+        apart = spans_by_window(sent.join(large, "shard", "left_semi"), unit, window, judge())
+        sent = sent.join(large, "shard", "left_anti").select(sent.columns)
     by_shard = sent.repartition(shuffle_partitions(spark), "shard").sortWithinPartitions("shard", "id", "rid", "begin")
     second = by_shard.mapInArrow(slim(owned), schema)
     spans = ["id", "rid", "begin", "end", F.col("shard").isNotNull().alias("early")]
-    return written(first.where("body is null").select(spans).union(second.select(spans)), "spans")
+    found = first.where("body is null").select(spans).union(second.select(spans))
+    return written(found.union(apart) if apart is not None else found, "spans")
 
 
 def _joined(body, a: int, b: int, unit: str) -> bytes:

@@ -132,6 +132,7 @@ def previous_factors(data: np.ndarray, left: np.ndarray, length: int, floor: int
 class Factors(A.Judge):
     def __init__(self, length: int, keep: str, earlier: bool = False, local_bytes: int = LOCAL_BYTES):
         self.length, self.keep, self.earlier, self.local = length, keep, earlier, local_bytes
+        self.keeps_first = keep == "first"
 
     def batches(self) -> int:
         return self.local
