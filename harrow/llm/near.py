@@ -10,9 +10,10 @@ probability (1 - (1 - 0.8**ROWS)**BANDS)**2, 0.9998 with these values.
 * In each table every id is compared with the least id of its entry (minimum by key, then a join: no list of
   members).  Entries whose members then lie in different components are compared across components, where
   sizes and sketches still allow the similarity, so no link between different texts is lost by the star.
-* In entries of over ``HOT`` members, pairs that share a shingle of at most ``RARE`` of these texts are met by that
-  shingle; all others have at most their other shingles in common, which rules out all but a few pairs however
-  large the group.  What is left of such an entry is cut into blocks.
+* Of texts that meet many others (in an entry of over ``HOT`` members, or ``CROWD`` in all entries), pairs that share a
+  shingle of at most ``RARE`` of these texts are met by that shingle; all others have at most their other shingles
+  in common, which rules out all but a few pairs however large the group.  What is left of a large entry is cut
+  into blocks.
 * Every candidate is verified on full sets; components are those of the verified links.
 
 Nulls: a null text has no shingles and is linked with nothing, like one without words; a text of fewer than
@@ -41,6 +42,8 @@ LEAST_EQUAL = 20
 BLOCK = 2_000
 #: Members from which an entry counts as hot, and texts that may have a shingle that counts as rare.
 HOT, RARE = 64, 64
+#: Others (met again in each entry) from which a text counts as one that meets many.
+CROWD = 1_000
 #: Shingles of such texts (about, and with their repeats) that are counted together.
 BUCKET = 500_000
 
@@ -224,7 +227,7 @@ def _across(small: DataFrame, hot: DataFrame | None, facts: DataFrame, percent:
 
     small: t, id, g, i, j of entries that are compared whole.  hot: t, id, g, main, blocks of larger ones: main is the
     entry's largest component, whose members come to one block each; the others come to every block.
-    facts: id, n, core, s, a, b.  best: for each member outside the largest component only the one with the most equal
+    facts: id, n, core (-1 where it is not known), s, a, b.  best: for each member outside the largest component only the one with the most equal
     minhashes; else all; of a small entry then each pair in the first table that both are in.
     """
     id_type = facts.schema["id"].dataType.simpleString()
@@ -238,8 +241,7 @@ def _across(small: DataFrame, hot: DataFrame | None, facts: DataFrame, percent:
             rest = [F.lit(0).cast("byte").alias(c) for c in ("i", "j")]  # pairs of these are met in any table
             units = units.unionByName(part.select("t", "q", (F.col("p") == F.col("q")).alias("own"), "main", "id", "g", *rest))
     keys = [F.when(F.col("main").isNull(), F.col(c)).otherwise(none).alias(c) if not best else none.alias(c) for c in ("a", "b")]
-    core = F.when(F.col("main").isNull(), F.col("n")).otherwise(F.col("core")).alias("core")  # it counts among members of hot entries only
-    units = units.join(facts, "id").select(*columns, "n", core, "s", *keys)
+    units = units.join(facts, "id").select(*columns, "n", "core", "s", *keys)
     dealt = units.repartition(shuffle_partitions(facts.sparkSession), "t", "q").sortWithinPartitions("t", "q", "id")
 
     def compare(t: pa.Table):
@@ -257,7 +259,8 @@ def _across(small: DataFrame, hot: DataFrame | None, facts: DataFrame, percent:
         place = np.arange(len(n))
         x, c = [], []
         for i in np.flatnonzero(~main).tolist():
-            most = np.minimum(core, core[i])
+            # core counts among the texts that have it
+            most = np.where(core >= 0, np.minimum(core, core[i]), np.minimum(n, n[i])) if core[i] >= 0 else np.minimum(n, n[i])
             ok = (g != g[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (100 * most >= percent * (n + n[i] - most))
             if not best:
                 ok &= main | (place < i) if own[i] else main
@@ -350,20 +353,23 @@ def _grouped(docs: DataFrame, sigs: DataFrame, id_col: str, text: str, k: int, p
         comp = written(with_edges(comp, more, "x", "c"), "components", rows=n_rows)
         return True
 
-    facts = reps.select("id", "n", F.col("n").alias("core"), "s", "a", "b")
+    facts = reps.select("id", "n", F.lit(-1).cast("long").alias("core"), "s", "a", "b")
     crowded = apart(tables.join(entries.select("t"), "t"))
     discard(tables)
-    if crowded.where(F.col("m") > HOT).limit(1).count():
-        # Shingles that few texts of the hot entries have tell which of their members can be alike: a pair that shares
-        # none of these has at most the lesser number of other shingles in common.
-        members = crowded.where(F.col("m") > HOT).select("id", "g").distinct()
+    meets = crowded.groupBy("id").agg(F.first("g").alias("g"), F.max("m").alias("most"), F.sum(F.col("m") - 1).alias("all"))
+    members = written(meets.where((F.col("most") > HOT) | (F.col("all") >= CROWD)).select("id", "g"), "members", rows=n_rows)
+    if members.limit(1).count():
+        # Shingles that few of these texts have tell which of them can be alike: a pair that shares none of these has at
+        # most the lesser number of other shingles in common.
         shingles = reps.join(members, "id", "left_semi").agg(F.sum("n")).first()[0]
         low = written(_rare(texts.join(members, "id", "left_semi"), k, 16 + shingles // BUCKET), "rare", narrow=True)
         core = low.groupBy("id").agg(F.sum(F.when(F.col("g").isNull(), F.col("m")).otherwise(1)).alias("low"))
-        facts = written(reps.join(core, "id", "left").select("id", "n", (F.col("n") - F.coalesce("low", F.lit(0))).alias("core"), "s", "a", "b"), "facts", narrow=True)
+        core = members.select("id").join(core, "id", "left").select("id", F.coalesce("low", F.lit(0)).alias("low"))
+        known = F.coalesce(F.col("n") - F.col("low"), F.lit(-1)).alias("core")
+        facts = written(reps.join(core, "id", "left").select("id", "n", known, "s", "a", "b"), "facts", narrow=True)
         tries(_rare_pairs(low, members.join(facts.select("id", "n", "core"), "id"), percent))
         # what else a member of a hot entry may be like has nearly all its shingles among the others
-        few = facts.where(100 * F.col("core") < percent * F.col("n")).select("id", F.lit(True).alias("few"))
+        few = facts.where((F.col("core") >= 0) & (100 * F.col("core") < percent * F.col("n"))).select("id", F.lit(True).alias("few"))
         before, crowded = crowded, crowded.join(few, "id", "left").where((F.col("m") <= HOT) | F.col("few").isNull())
         crowded = apart(crowded.select("t", "id", "i", "j"))
         discard(before)
