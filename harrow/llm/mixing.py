@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from harrow.llm.shared import written
+from harrow.llm.shared import shuffle_partitions, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_TIMES = 3
@@ -131,7 +131,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source
     lined = facts.where("draws > 0").withColumn("from", F.coalesce(F.sum("draws").over(line), F.lit(0)))
     lined = lined.withColumn("all_draws", F.sum("draws").over(W.partitionBy(F.lit(1))))
     chunked = lined.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("draws") - 1) / run))).alias("c"))
-    chunked = chunked.repartition(F.col("source"), F.col("c"))
+    chunked = chunked.repartition(shuffle_partitions(docs.sparkSession), F.col("source"), F.col("c"))  # few bytes, but work for all cores
     drawn = chunked.select("source", "blocks", "from", "all_draws", F.explode(F.sequence(F.col("c") * run, F.least(F.col("draws"), (F.col("c") + 1) * run) - 1)).alias("i"))
     time_round = F.floor(F.col("i") / F.col("blocks"))
     place = shuffled(F.col("from") + F.col("i"), F.col("all_draws"), seed)
