@@ -9,7 +9,8 @@ Everything the trie decides depends on the last six bytes only.  So strings of s
 corpus, shorter contexts are sums of these, and the log probability of each distinct string is worked out once,
 by joins.  Texts are then scored by looking strings up: the most frequent ones (at most ``TABLE_ROWS``, a bound
 on what is broadcast) in a table that each worker has, all others by a join.  Words of the base likewise.
-Nothing is dropped: the bound only says which way a string is looked up.
+Nothing is dropped: the bound only says which way a string is looked up.  Contexts of up to two bytes are tables of at
+most 65,536 rows, which are broadcast too.
 
 Nulls: a null text is empty (one end token, one end byte); a null id counts as a training row.  Rows alike in id
 and text get the same scores.  With no training rows every token is unknown and bytes are alike.
@@ -143,6 +144,10 @@ def trie_costs(grams: DataFrame) -> DataFrame:
     def low(c: str, k: int) -> Column:
         return F.col(c).bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
 
+    def sent(df: DataFrame, key_bytes: int) -> DataFrame:
+        """Tables with keys of at most two bytes have 65,536 rows at most and go to all tasks: dealt by so few keys, a task would have all rows of the most frequent."""
+        return F.broadcast(df) if key_bytes <= 2 else df
+
     entries = {ORDER: grams.where("n > 0").select("key", "n")}
     for k in range(ORDER - 1, -1, -1):
         entries[k] = written(entries[k + 1].groupBy(low("key", k).alias("key")).agg(F.sum("n").alias("n")), "trie", narrow=True)
@@ -152,12 +157,12 @@ def trie_costs(grams: DataFrame) -> DataFrame:
         node = e.groupBy(F.shiftright("key", 8).alias("ctx")).agg(F.sum(2 * F.col("n") - 1).alias("nu"), F.count(F.lit(1)).alias("qu"))
         if k:
             # bytes seen in this context, as they count in the next shorter one, where they are excluded
-            below = e.select(F.shiftright("key", 8).alias("ctx"), low("key", k - 1).alias("low")).join(entries[k - 1].select(F.col("key").alias("low"), (2 * F.col("n") - 1).alias("m")), "low")
+            below = e.select(F.shiftright("key", 8).alias("ctx"), low("key", k - 1).alias("low")).join(sent(entries[k - 1].select(F.col("key").alias("low"), (2 * F.col("n") - 1).alias("m")), k), "low")
             node = node.join(below.groupBy("ctx").agg(F.sum("m").alias("xu")), "ctx")
         else:
             node = node.withColumn("xu", F.lit(0).cast("long"))
         costs = costs.withColumn("ctx", F.shiftright(low("key", k), 8)).withColumn("e", low("key", k))
-        costs = costs.join(node, "ctx", "left").join(e.select(F.col("key").alias("e"), (2 * F.col("n") - 1).alias("ns")), "e", "left")
+        costs = costs.join(sent(node, k), "ctx", "left").join(sent(e.select(F.col("key").alias("e"), (2 * F.col("n") - 1).alias("ns")), k + 1), "e", "left")
         new, left = F.col("qu") - F.col("qv"), F.col("nu") - F.col("xv")
         all_left = (new + left).cast("double")
         step = F.when(F.col("done") | F.col("nu").isNull() | (new == 0), 0.0).otherwise(F.log10(F.coalesce(F.col("ns"), new) / all_left))
