@@ -35,3 +35,25 @@ def test_equal_keys_and_no_rows(spark):
     same = spark.range(500).select(F.lit(1).alias("k"), "id")
     assert sorted(r.idx for r in datasets.indexed(same, "k").collect()) == list(range(500))
     assert datasets.indexed(same.where("id < 0"), "k").collect() == []
+
+
+def test_an_experiment_scores_every_page(spark, tmp_path):
+    import os
+
+    from harrow.plans.config import DatasetConfig, ExperimentConfig
+    from harrow.plans.experiment import Experiment
+
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128k")
+    try:
+        pages = spark.read.parquet(path).repartition(9)
+        samples = pages.select(F.concat(F.lit("s_"), F.col("page_id")).alias("id"), F.col("html").alias("content"), F.lit('{"title": ""}').alias("query"), F.lit('{"title": "x"}').alias("ground_truth"), F.lit(False).alias("is_content_url"))
+        config = ExperimentConfig("e", DatasetConfig(batch_size=64, shuffle=True, metrics=("page_level_f1",)), output_dir=str(tmp_path))
+        e = Experiment(spark, config, datasets.indexed(samples, "id"))
+        e.run()
+        got = [r.id for r in e.predictions().select("id").collect()]
+        assert len(got) == len(set(got)) == pages.count() == 250
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
