@@ -12,8 +12,8 @@ probability (1 - (1 - 0.8**ROWS)**BANDS)**2, 0.9998 with these values.
   sizes and sketches still allow the similarity, so no link between different texts is lost by the star.
 * Of texts that meet many others (in an entry of over ``HOT`` members, or ``CROWD`` in all entries), pairs that share a
   shingle of at most ``RARE`` of these texts are met by that shingle; all others have at most their other shingles
-  in common, which rules out all but a few pairs however large the group.  What is left of a large entry is cut
-  into blocks.
+  in common, which rules out all but a few pairs however large the group.  What is left of large entries is met
+  by the keys of the first collection, so that a member stands in ``BANDS`` of them at most, and cut into blocks.
 * Every candidate is verified on full sets; components are those of the verified links.
 
 Nulls: a null text has no shingles and is linked with nothing, like one without words; a text of fewer than
@@ -316,7 +316,7 @@ def _grouped(docs: DataFrame, sigs: DataFrame, id_col: str, text: str, k: int, p
     half = reps.select("id", F.posexplode("a").alias("i", "a"))
     met = half.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("a")
     half = half.join(met, "a").join(reps.select("id", "b"), "id")
-    keyed_tables = half.select("id", "i", "a", F.posexplode("b").alias("j", "b")).select("id", F.col("i").cast("byte").alias("i"), F.col("j").cast("byte").alias("j"), F.xxhash64("a", "b").alias("t"))
+    keyed_tables = half.select("id", "i", "a", F.posexplode("b").alias("j", "b")).select("id", F.col("i").cast("byte").alias("i"), F.col("j").cast("byte").alias("j"), F.xxhash64("a", "b").alias("t"), F.col("a").alias("u"))
     tables = written(keyed_tables, "tables", narrow=True)
     entries = tables.groupBy("t").agg(F.min("id").alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1").select("t", "c")
     near = tables.join(entries, "t").where("id != c").select(F.col("id").alias("x"), "c").distinct()
@@ -336,7 +336,8 @@ def _grouped(docs: DataFrame, sigs: DataFrame, id_col: str, text: str, k: int, p
         """crowded with the members' components, of entries where these differ, and m, the members of the entry."""
         g = F.coalesce("component", "id")
         g = F.xxhash64(g) if isinstance(facts.schema["id"].dataType, StructType) else g  # only compared
-        placed = written(crowded.join(comp.withColumnRenamed("node", "id"), "id", "left").select("t", "id", "i", "j", g.alias("g")), "placed", narrow=True)
+        names = [c for c in ("t", "id", "i", "j", "u") if c in crowded.columns]
+        placed = written(crowded.join(comp.withColumnRenamed("node", "id"), "id", "left").select(*names, g.alias("g")), "placed", narrow=True)
         still = placed.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi").select("t", "m")
         out = written(placed.join(still, "t"), "crowded", narrow=True)
         discard(placed)
@@ -369,24 +370,26 @@ def _grouped(docs: DataFrame, sigs: DataFrame, id_col: str, text: str, k: int, p
         facts = written(reps.join(core, "id", "left").select("id", "n", known, "s", "a", "b"), "facts", narrow=True)
         tries(_rare_pairs(low, members.join(facts.select("id", "n", "core"), "id"), percent))
         # what else a member of a hot entry may be like has nearly all its shingles among the others
-        few = facts.where((F.col("core") >= 0) & (100 * F.col("core") < percent * F.col("n"))).select("id", F.lit(True).alias("few"))
-        before, crowded = crowded, crowded.join(few, "id", "left").where((F.col("m") <= HOT) | F.col("few").isNull())
-        crowded = apart(crowded.select("t", "id", "i", "j"))
-        discard(before)
+        few = facts.where((F.col("core") >= 0) & (100 * F.col("core") < percent * F.col("n"))).select("id")
+        hot = crowded.where(F.col("m") > HOT).join(few, "id", "left_anti").select(F.col("u").alias("t"), "id").distinct()
+        small, hot = apart(crowded.where(F.col("m") <= HOT).drop("u")), apart(hot)
+        discard(crowded)
+    else:
+        small, hot = crowded.drop("u"), None
     best = True
     while True:
-        small, hot = crowded.where(F.col("m") <= HOT), None
-        if crowded.where(F.col("m") > HOT).limit(1).count():
-            hot = crowded.where(F.col("m") > HOT)
+        large = None
+        if hot is not None:
             largest = hot.groupBy("t", "g").agg(F.count(F.lit(1)).alias("size")).groupBy("t").agg(F.max_by("g", F.struct("size", "g")).alias("main"))
-            hot = hot.join(largest, "t").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-        joined = tries(_across(small, hot, facts, percent, least, best))
+            large = hot.join(largest, "t").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+        joined = tries(_across(small, large, facts, percent, least, best))
         if not best:
             break
         best = joined
         if joined:
-            before, crowded = crowded, apart(crowded.select("t", "id", "i", "j"))
-            discard(before)
+            before = [x for x in (small, hot) if hasattr(x, "_written_path")]
+            small, hot = apart(small), hot if hot is None else apart(hot)
+            discard(*before)
 
     out = sigs.join(classes, ["k1", "k2", "n"], "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
