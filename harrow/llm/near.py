@@ -225,10 +225,10 @@ def _rare_pairs(low: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
 def _across(small: DataFrame, hot: DataFrame | None, facts: DataFrame, percent: int, least: int, best: bool) -> DataFrame:
     """Pairs (x, c), x > c, of an entry's members in different components whose sizes and sketches allow the similarity.
 
-    small: t, id, g, i, j of entries that are compared whole.  hot: t, id, g, main, blocks of larger ones: main is the
+    small: t, id, g, i, j of entries that are compared whole.  hot: t, id, g, i, main, blocks of larger ones: main is the
     entry's largest component, whose members come to one block each; the others come to every block.
-    facts: id, n, core (-1 where it is not known), s, a, b.  best: for each member outside the largest component only the one with the most equal
-    minhashes; else all; of a small entry then each pair in the first table that both are in.
+    facts: id, n, core (-1 where it is not known), s, a, b.  best: for each member outside the largest component only
+    the one with the most equal minhashes; else all, each pair where both first meet.
     """
     id_type = facts.schema["id"].dataType.simpleString()
     none = F.lit(None).cast("array<long>")
@@ -238,9 +238,8 @@ def _across(small: DataFrame, hot: DataFrame | None, facts: DataFrame, percent:
         met = hot.withColumn("p", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("main", F.col("g") == F.col("main"))
         others = met.where(~F.col("main")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         for part in (met.where("main").withColumn("q", F.col("p")), others):
-            rest = [F.lit(0).cast("byte").alias(c) for c in ("i", "j")]  # pairs of these are met in any table
-            units = units.unionByName(part.select("t", "q", (F.col("p") == F.col("q")).alias("own"), "main", "id", "g", *rest))
-    keys = [F.when(F.col("main").isNull(), F.col(c)).otherwise(none).alias(c) if not best else none.alias(c) for c in ("a", "b")]
+            units = units.unionByName(part.select("t", "q", (F.col("p") == F.col("q")).alias("own"), "main", "id", "g", "i", F.lit(0).cast("byte").alias("j")))
+    keys = [none.alias("a"), none.alias("b")] if best else [F.col("a"), F.when(F.col("main").isNull(), F.col("b")).alias("b")]
     units = units.join(facts, "id").select(*columns, "n", "core", "s", *keys)
     dealt = units.repartition(shuffle_partitions(facts.sparkSession), "t", "q").sortWithinPartitions("t", "q", "id")
 
@@ -253,8 +252,8 @@ def _across(small: DataFrame, hot: DataFrame | None, facts: DataFrame, percent:
             main = g == names[size.argmax()]
         else:
             main = t["main"].to_numpy()
-        if not best and whole:
-            a, b = (t[c].combine_chunks().flatten().to_numpy().reshape(len(ids), -1) for c in ("a", "b"))
+        if not best:  # each pair only where it first meets: in a small entry's table, or by a key of the first collection
+            a, b = (t[c].combine_chunks().flatten().to_numpy().reshape(len(ids), -1) if whole or c == "a" else None for c in ("a", "b"))
         s = t["s"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         place = np.arange(len(n))
         x, c = [], []
@@ -264,8 +263,9 @@ def _across(small: DataFrame, hot: DataFrame | None, facts: DataFrame, percent:
             ok = (g != g[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (100 * most >= percent * (n + n[i] - most))
             if not best:
                 ok &= main | (place < i) if own[i] else main
+                ok &= (a[:, : i_at[i]] != a[i, : i_at[i]]).all(1)
                 if whole:
-                    ok &= (a[:, : i_at[i]] != a[i, : i_at[i]]).all(1) & (b[:, : j_at[i]] != b[i, : j_at[i]]).all(1)
+                    ok &= (b[:, : j_at[i]] != b[i, : j_at[i]]).all(1)
             j = np.flatnonzero(ok)
             if not len(j):
                 continue
@@ -371,7 +371,7 @@ def _grouped(docs: DataFrame, sigs: DataFrame, id_col: str, text: str, k: int, p
         tries(_rare_pairs(low, members.join(facts.select("id", "n", "core"), "id"), percent))
         # what else a member of a hot entry may be like has nearly all its shingles among the others
         few = facts.where((F.col("core") >= 0) & (100 * F.col("core") < percent * F.col("n"))).select("id")
-        hot = crowded.where(F.col("m") > HOT).join(few, "id", "left_anti").select(F.col("u").alias("t"), "id").distinct()
+        hot = crowded.where(F.col("m") > HOT).join(few, "id", "left_anti").select(F.col("u").alias("t"), "id", "i").distinct()
         small, hot = apart(crowded.where(F.col("m") <= HOT).drop("u")), apart(hot)
         discard(crowded)
     else:
