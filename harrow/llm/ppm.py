@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -139,7 +140,12 @@ def count_training(docs: DataFrame) -> DataFrame:
 
 
 def trie_costs(grams: DataFrame) -> DataFrame:
-    """key, n, cost: log10 probability of the last byte of each string after those before, under PPM."""
+    """key, n, cost: log10 probability of the last byte of each string after those before, under PPM.
+
+    Levels that need a shuffle are plans of their own: Spark plans, logs and watches a plan anew after each of its
+    shuffles, so that one plan of all levels takes the driver hundreds of MB.  A string whose last byte is known at
+    a level is priced and goes no further.
+    """
 
     def low(c: str, k: int) -> Column:
         return F.col(c).bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
@@ -151,7 +157,7 @@ def trie_costs(grams: DataFrame) -> DataFrame:
     entries = {ORDER: grams.where("n > 0").select("key", "n")}
     for k in range(ORDER - 1, -1, -1):
         entries[k] = written(entries[k + 1].groupBy(low("key", k).alias("key")).agg(F.sum("n").alias("n")), "trie", narrow=True)
-    costs = grams.select("key", F.lit(False).alias("done"), F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("qv"), F.lit(0).cast("long").alias("xv"), F.lit(0).cast("long").alias("q0"))
+    costs, priced = grams.select("key", "n", F.lit(False).alias("done"), F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("qv"), F.lit(0).cast("long").alias("xv"), F.lit(0).cast("long").alias("q0")), []
     for k in range(ORDER, -1, -1):
         e = entries[k]
         node = e.groupBy(F.shiftright("key", 8).alias("ctx")).agg(F.sum(2 * F.col("n") - 1).alias("nu"), F.count(F.lit(1)).alias("qu"))
@@ -161,18 +167,25 @@ def trie_costs(grams: DataFrame) -> DataFrame:
             node = node.join(below.groupBy("ctx").agg(F.sum("m").alias("xu")), "ctx")
         else:
             node = node.withColumn("xu", F.lit(0).cast("long"))
-        costs = costs.withColumn("ctx", F.shiftright(low("key", k), 8)).withColumn("e", low("key", k))
-        costs = costs.join(sent(node, k), "ctx", "left").join(sent(e.select(F.col("key").alias("e"), (2 * F.col("n") - 1).alias("ns")), k + 1), "e", "left")
+        costs = costs.withColumn("ctx", F.shiftright(low("key", k), 8)).join(sent(node, k), "ctx", "left")
+        if k == ORDER:  # the strings themselves
+            costs = costs.withColumn("ns", F.when(F.col("n") > 0, 2 * F.col("n") - 1))
+        else:
+            costs = costs.withColumn("e", low("key", k)).join(sent(e.select(F.col("key").alias("e"), (2 * F.col("n") - 1).alias("ns")), k + 1), "e", "left")
         new, left = F.col("qu") - F.col("qv"), F.col("nu") - F.col("xv")
         all_left = (new + left).cast("double")
         step = F.when(F.col("done") | F.col("nu").isNull() | (new == 0), 0.0).otherwise(F.log10(F.coalesce(F.col("ns"), new) / all_left))
         costs = costs.select(
-            "key", (F.col("done") | F.col("ns").isNotNull()).alias("done"), (F.col("cost") + step).alias("cost"),
+            "key", "n", (F.col("done") | F.col("ns").isNotNull()).alias("done"), (F.col("cost") + step).alias("cost"),
             F.coalesce("qu", "qv").alias("qv"), F.coalesce("xu", "xv").alias("xv"), F.coalesce("qu", F.lit(0)).alias("q0"),
         )
+        if k > 2:
+            costs = written(costs, "costs", narrow=True)
+            priced.append(costs.where("done").select("key", "n", "cost"))
+            costs = costs.where("not done")
     uniform = -F.log10((F.lit(SYMBOLS) - F.col("q0")).cast("double"))
-    costs = costs.select("key", (F.col("cost") + F.when(F.col("done"), 0.0).otherwise(uniform)).alias("cost"))
-    return costs.join(grams, "key").select("key", "n", "cost")
+    priced.append(written(costs.select("key", "n", (F.col("cost") + F.when(F.col("done"), 0.0).otherwise(uniform)).alias("cost")), "costs", narrow=True))
+    return reduce(DataFrame.union, priced)
 
 
 class Table:
@@ -251,7 +264,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held: Col
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), body).alias("rid"), (held if held is not None else is_held_out(F.col(id_col))).alias("held"), body.alias("text"))
     counts = written(count_training(own), "counts", "kind")
     words = counts.where(f"kind = {WORD}").select("key", "n")
-    costs = written(trie_costs(counts.where(f"kind = {GRAM}").select("key", "n")), "costs")
+    costs = trie_costs(counts.where(f"kind = {GRAM}").select("key", "n"))
     ends = own.where(~F.col("held")).count()
     n_words, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, types = n_words + ends, v + (ends > 0)
