@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.shared import ship, slim
+from harrow.llm.shared import keeps, ship, slim
 
 META = "▁"
 #: Units in a generation of a worker's store; it bounds memory and changes no result.
@@ -244,6 +244,7 @@ class _Store:
 
 
 _STORES: dict[bytes, _Store] = {}
+keeps(__name__, _STORES)
 
 
 def _store(model: bytes) -> _Store:
@@ -297,4 +298,4 @@ def encode_texts(docs: DataFrame, model: bytes, id_col: str = "doc_id", text: st
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"{id_col} {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep
-    return docs.select(id_col, F.col(text)).mapInArrow(slim(run), schema)
+    return docs.select(id_col, F.col(text)).mapInArrow(slim(run, __name__), schema)

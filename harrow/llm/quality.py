@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrow.llm import bytesx as X
-from harrow.llm.shared import ship, slim
+from harrow.llm.shared import give_back, let_go, ship, slim
 
 #: Rows on which rules are timed, and partitions that they come from; it sets only the rules' order.
 SAMPLE_ROWS, SAMPLE_PARTS = 256, 16
@@ -237,13 +237,20 @@ def measured_order(rules: tuple[Rule, ...], sample: Texts, have: tuple[str, ...]
     return order
 
 
+def first_texts(part: Iterator, n: int) -> list[str | None]:
+    """The first texts of a partition, in a worker that drops before what other modules keep there."""
+    let_go()
+    give_back()
+    return [row[0] for row in islice(part, n)]
+
+
 def sampled_texts(docs: DataFrame, text: str) -> list[str | None]:
     """About ``SAMPLE_ROWS`` texts, the first ones of ``SAMPLE_PARTS`` partitions picked by chance; no other is read."""
     rows = docs.select(text).rdd
     n = rows.getNumPartitions()
     picked = sorted(random.Random(SAMPLE_ROWS).sample(range(n), min(n, SAMPLE_PARTS)))
     each = -(-SAMPLE_ROWS // max(1, len(picked)))
-    return docs.sparkSession.sparkContext.runJob(rows, lambda part: [row[0] for row in islice(part, each)], picked)
+    return docs.sparkSession.sparkContext.runJob(rows, lambda part: first_texts(part, each), picked)
 
 
 def order_on_sample(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", have: tuple[str, ...] = ()) -> list[str]:

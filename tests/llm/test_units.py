@@ -1,6 +1,7 @@
 """Units without a cut, and units that do not decode to themselves, in the store's bounds."""
 
 import time
+import weakref
 
 import sentencepiece
 from public_tokenizers import path
@@ -46,3 +47,31 @@ def test_earlier_bytes_are_those_that_keep_first_removes(spark):
     first = {r.doc_id: r for r in suffix.drop_repeated_bytes(df, length=30, keep="first", earlier=True).collect()}
     assert {i: r.n_earlier for i, r in none.items()} == {i: r.n_removed for i, r in first.items()} == {i: r.n_earlier for i, r in first.items()}
     assert any(r.n_removed > r.n_earlier for r in none.values())
+
+
+def test_tasks_of_other_operators_drop_the_store():
+    from harrow.llm import quality
+    from harrow.llm.queries import tokenizer_bytes
+    from harrow.llm.shared import slim
+
+    def kept_after(task):
+        store = pieces._store(tokenizer_bytes())
+        store.ids["▁a"]
+        held = weakref.ref(store)
+        del store
+        assert list(task()) == ["x"]
+        return held() is not None
+
+    assert kept_after(lambda: slim(iter, pieces.__name__)(["x"]))  # from task to task of its own
+    assert not kept_after(lambda: slim(iter)(["x"]))
+    assert not kept_after(lambda: quality.first_texts(iter([("x",)]), 1))
+
+
+def test_encoding_after_the_store_was_dropped(spark):
+    from harrow.llm import quality
+    from harrow.llm.queries import tokenizer_bytes
+
+    df = spark.createDataFrame([(i, f"a few words and {i}") for i in range(40)], "doc_id long, text string").repartition(4)
+    first = sorted(pieces.encode_texts(df, tokenizer_bytes()).collect())
+    assert quality.quality(df).count() == 40  # in the same workers, which drop the store
+    assert sorted(pieces.encode_texts(df, tokenizer_bytes()).collect()) == first
