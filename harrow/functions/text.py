@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from harrow.functions.normal import ENTITIES
+
 #: Characters that Python's \\s and \\w match, as classes of Java's expressions.
 SPACE = r"\s\x1c-\x1f\x85\p{Z}"
 WORD = r"\p{L}\p{N}_"
@@ -159,10 +161,6 @@ def prompt(template: str, **values: Column | str) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
-#: References that the native cleaner decodes; the last must stay last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
-
-
 def clean_text(page: Column | str) -> Column:
     """A page's text without scripts, styles, headers, footers and comments, by expressions only.
 
