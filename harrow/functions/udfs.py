@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -120,7 +121,7 @@ def ratio(a: Column, b: Column) -> Column:
 FIELDS = "array<struct<field:string,hit:boolean,extracted:boolean,in_gold:boolean>>"
 
 
-def field_marks(gold: str | None, pred: str | None, fuzzy: float | None = None, strict: bool = False) -> list[dict]:
+def field_marks(gold: str | None, pred: str | None, fuzzy: float | None = None, strict: bool = False, unescape: Callable[[str], str] = html.unescape) -> list[dict]:
     """For each field of the gold object: whether it is hit, counts as extracted, is in the gold data."""
     g = tolerant.parse(gold)
     p = tolerant.parse(pred) if pred is not None else None
@@ -130,7 +131,7 @@ def field_marks(gold: str | None, pred: str | None, fuzzy: float | None = None,
     for field, value in g.items():
         there = p.get(field) if isinstance(p, dict) else None
         try:
-            hit = isinstance(p, dict) and (tolerant.same(value, there) if fuzzy is None else tolerant.similar(value, there, fuzzy))
+            hit = isinstance(p, dict) and (tolerant.same(value, there, unescape) if fuzzy is None else tolerant.similar(value, there, fuzzy, unescape))
         except Exception:
             hit = False
         in_gold = tolerant.not_null(value)
@@ -139,10 +140,10 @@ def field_marks(gold: str | None, pred: str | None, fuzzy: float | None = None,
     return out
 
 
-def fields(gold: Column, pred: Column, fuzzy: float | None = None, strict: bool = False) -> Column:
+def fields(gold: Column, pred: Column, fuzzy: float | None = None, strict: bool = False, unescape: Callable[[str], str] = html.unescape) -> Column:
     @F.pandas_udf(FIELDS)
     def run(g: pd.Series, p: pd.Series) -> pd.Series:
-        return pd.Series([field_marks(a, b, fuzzy, strict) for a, b in zip(g, p, strict=True)], dtype=object)
+        return pd.Series([field_marks(a, b, fuzzy, strict, unescape) for a, b in zip(g, p, strict=True)], dtype=object)
 
     return run(gold, pred)
 

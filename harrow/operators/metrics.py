@@ -5,6 +5,7 @@ All state is sums and counts, so partial results add up: batches, streams and on
 
 from __future__ import annotations
 
+import html
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -82,13 +83,13 @@ def means(df: DataFrame) -> DataFrame:
 # page_level_f1
 
 
-def field_rows(df: DataFrame, fuzzy: float | None = None, strict: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def field_rows(df: DataFrame, fuzzy: float | None = None, strict: bool = False, carry: tuple[str, ...] = (), unescape: Callable[[str], str] = html.unescape) -> DataFrame:
     """id, website, field, hit, extracted, in_gold and the columns in carry: one row for each field of the gold object.
 
     A field that the prediction lacks counts as extracted, an explicit null does not; null in both is a hit.
-    strict: that is no hit.
+    strict: that is no hit.  unescape: reads the character references of gold texts.
     """
-    marks = df.select("id", *carry, X.website_of("id").alias("website"), udfs.fields(F.col("ground_truth"), F.col("prediction"), fuzzy, strict).alias("m"))
+    marks = df.select("id", *carry, X.website_of("id").alias("website"), udfs.fields(F.col("ground_truth"), F.col("prediction"), fuzzy, strict, unescape).alias("m"))
     return marks.select("id", *carry, "website", F.explode("m").alias("m")).select("id", *carry, "website", "m.*")
 
 

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from harrow.functions import dom
+from harrow.functions import dom, udfs
 from harrow.oracles import ORACLES
 from harrow.queries import QUERIES
 
@@ -35,8 +35,18 @@ def test_clean_text_dom_equals_its_sql(spark, cut):
     check(spark, cut, "clean_text_dom")
 
 
+@pytest.mark.parametrize("name", ["page_counts", "page_site_field", "page_by_site", "page_by_field", "page_overall"])
+def test_page_counts_and_averages_equal_their_sql(spark, cut, name):
+    check(spark, cut, name)
+
+
 def test_clean_html_reads_by_html_rules_unless_told():
     page = "<p>a&amp;&amp</p><p> &eacute; b&copy</p>"
     assert dom.clean_html(page, keep_tags=False) == "a&&  é b©"
     assert dom.clean_html(page, keep_tags=False, unescape=lambda t: t.replace("&amp;", "+")) == "a+&amp  &eacute; b&copy"
     assert dom.clean_html("&lt;i>a&amp;amp</i>", keep_tags=False, rag=True, unescape=lambda t: t.replace("&lt;", "<").replace("&amp;", "&")) == "a&amp"
+
+
+def test_gold_texts_read_by_html_rules_unless_told():
+    gold, pred = '{"t": "a&amp"}', '{"t": "a amp"}'
+    assert [m["hit"] for m in (*udfs.field_marks(gold, pred), *udfs.field_marks(gold, pred, unescape=str), *udfs.field_marks(gold, pred, 100, unescape=str))] == [False, True, True]
