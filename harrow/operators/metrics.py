@@ -93,9 +93,9 @@ def field_rows(df: DataFrame, fuzzy: float | None = None, strict: bool = False,
     return marks.select("id", *carry, "website", F.explode("m").alias("m")).select("id", *carry, "website", "m.*")
 
 
-def page_samples(df: DataFrame) -> DataFrame:
-    """Adds evaluation: field -> 1.0 for a hit, else 0.0."""
-    m = udfs.fields(F.col("ground_truth"), F.col("prediction"))
+def page_samples(df: DataFrame, unescape: Callable[[str], str] = html.unescape) -> DataFrame:
+    """Adds evaluation: field -> 1.0 for a hit, else 0.0.  unescape: reads the character references of gold texts."""
+    m = udfs.fields(F.col("ground_truth"), F.col("prediction"), unescape=unescape)
     return df.withColumn("m__", m).withColumn("evaluation", F.map_from_entries(F.transform("m__", lambda x: F.struct(x["field"], x["hit"].cast("double"))))).drop("m__")
 
 

@@ -40,6 +40,10 @@ def test_page_counts_and_averages_equal_their_sql(spark, cut, name):
     check(spark, cut, name)
 
 
+def test_page_samples_equal_their_sql(spark, cut):
+    check(spark, cut, "page_samples")
+
+
 def test_clean_html_reads_by_html_rules_unless_told():
     page = "<p>a&amp;&amp</p><p> &eacute; b&copy</p>"
     assert dom.clean_html(page, keep_tags=False) == "a&&  é b©"
